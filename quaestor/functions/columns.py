@@ -69,7 +69,25 @@ def half_even(c: Column, digits: int = 2) -> Column:
     return F.bround(c, digits)
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-free timestamp, whatever the session's zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts)
+    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+
+
+def event_time(ts: Column) -> Column:
+    """A zone-free timestamp as the instant that watermarks and event-time windows need."""
+    return F.timestamp_micros(micros(ts))
+
+
+def zone_free(instant: Column) -> Column:
+    """The inverse of :func:`event_time`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
+
+
+def minute_stamp(ts: Column) -> Column:
+    """``yyyyMMddHHmm`` of a zone-free timestamp."""
+    return F.regexp_replace(F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 16), "[^0-9]", "")

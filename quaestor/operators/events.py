@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor import constants as C
+from quaestor.functions.columns import minute_stamp
 from quaestor.operators.throttle import throttle
 from quaestor.params import SkewParams, TrustParams
 
@@ -25,7 +26,7 @@ def throttle_key() -> Column:
 def alert_id() -> Column:
     """Category, title with underscores, and the minute."""
     title = F.replace("title", F.lit(" "), F.lit("_"))
-    return F.concat_ws("_", "category", title, F.date_format("event_at", "yyyyMMddHHmm"))
+    return F.concat_ws("_", "category", title, minute_stamp(F.col("event_at")))
 
 
 def send_events(

@@ -24,7 +24,7 @@ class HotKeys:
         """(rows of other keys, rows of hot keys). Rows with a null key are never hot."""
         small = F.broadcast(self.keys)
         on = list(self.columns)
-        return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
+        return tuple(df.join(small, on, how).select(*df.columns) for how in ("left_anti", "left_semi"))
 
 
 def find_hot_keys(df: DataFrame, columns: tuple[str, ...], params: SkewParams) -> HotKeys | None:

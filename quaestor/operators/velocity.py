@@ -136,7 +136,8 @@ def attach_days(ledger: DataFrame, per_day: DataFrame) -> DataFrame:
     A plain equi-join on both keys: the adaptive join splits a hot account-day.
     """
     dated = ledger.withColumn("txn_day", F.to_date("txn_date"))
-    return dated.join(per_day, ["account_id", "txn_day"], "left").drop("txn_day")
+    added = [c for c in per_day.columns if c not in ("account_id", "txn_day")]
+    return dated.join(per_day, ["account_id", "txn_day"], "left").select(*ledger.columns, *added)
 
 
 def velocity_days(ledger: DataFrame, windows: tuple[str, ...] = C.VELOCITY_WINDOWS) -> DataFrame:

@@ -73,6 +73,11 @@ def orders_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a feed with time of day, mixed-case words and round amounts."""
+    return as_feed(table(spark, sf_dir, "events"))
+
+
+def as_feed(events: DataFrame, *extra: str) -> DataFrame:
+    """A batch or stream of events as a feed, with further event columns if named."""
     kind = F.col("event_type")
     amount = F.round("value") * 100
     day = F.to_date("ts")
@@ -85,7 +90,7 @@ def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "view": "DEPOSIT",
         "signup": "PAYMENT",
     }
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("e"), "event_id").alias("txn_id"),
         F.concat(F.lit("acc"), "user_id").alias("account_id"),
         F.col("ts").alias("txn_date"),
@@ -94,4 +99,5 @@ def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("EUR").alias("currency"),
         _recode(kind, types).alias("txn_type"),
         F.get(statuses, (F.col("event_id") % 5).cast("int")).alias("status"),
+        *extra,
     )
