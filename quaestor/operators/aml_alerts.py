@@ -38,10 +38,9 @@ def _rule_name(rule: Column) -> Column:
     return F.coalesce(F.create_map(*names)[rule], rule)
 
 
-def alert_totals(scored: DataFrame) -> DataFrame:
+def alert_totals(hits: DataFrame) -> DataFrame:
     """The alerts without their transaction lists: every value is combined before the shuffle."""
     total = exact_sum(F.col("magnitude"))
-    hits = triggered(scored)
     return (
         hits.groupBy(*KEY)
         .agg(
@@ -69,21 +68,28 @@ def alert_totals(scored: DataFrame) -> DataFrame:
     )
 
 
-def alert_transactions(scored: DataFrame) -> DataFrame:
+def alert_transactions(hits: DataFrame) -> DataFrame:
     """The complete list in rows: every transaction of every alert, of any size."""
-    return triggered(scored).select(*KEY, "txn_id")
+    return hits.select(*KEY, "txn_id")
 
 
-def deduplicated_alerts(scored: DataFrame, inline_ids_limit: int = 100_000) -> DataFrame:
+def deduplicated_alerts(hits: DataFrame, inline_ids_limit: int = 100_000) -> DataFrame:
     """Alerts with ``triggering_txn_ids`` as a sorted array.
 
     An alert over more than ``inline_ids_limit`` transactions does not fit in one row: its array
-    is null and its ids, like those of all alerts, are in :func:`alert_transactions`.
+    is null and its ids, like those of all alerts, are in :func:`alert_transactions`. Such
+    alerts are set aside before any list is collected; the join that does so is Spark's to
+    choose, by their measured size.
     """
-    totals = alert_totals(scored)
-    oversized = totals.filter(F.col("triggering_txn_count") > inline_ids_limit).select(*KEY)
+    totals = alert_totals(hits)
+    oversized = (
+        hits.groupBy(*KEY)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > inline_ids_limit)
+        .select(*KEY)
+    )
     listed = (
-        alert_transactions(scored)
+        alert_transactions(hits)
         .join(oversized, list(KEY), "left_anti")
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_list("txn_id")).alias("triggering_txn_ids"))
@@ -92,10 +98,14 @@ def deduplicated_alerts(scored: DataFrame, inline_ids_limit: int = 100_000) -> D
 
 
 def generate_alerts(
-    scored: DataFrame, run_time: datetime, inline_ids_limit: int = 100_000
+    hits: DataFrame, run_time: datetime, inline_ids_limit: int = 100_000
 ) -> DataFrame:
-    """The twelve alert columns, numbered by account, date and rule within the run."""
-    alerts = number_in_order(deduplicated_alerts(scored, inline_ids_limit), KEY, "_number")
+    """The twelve alert columns, numbered by account, date and rule within the run.
+
+    ``hits`` is read several times: pass :func:`triggered` of a stored scored table, or
+    checkpoint it (``cut_lineage``) so that the windows behind it run once.
+    """
+    alerts = number_in_order(deduplicated_alerts(hits, inline_ids_limit), KEY, "_number")
     stamp = run_time.strftime("%Y%m%d%H%M%S")
     return alerts.withColumns(
         {

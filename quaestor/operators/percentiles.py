@@ -3,43 +3,64 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 2_048
-# Below this many distinct values the built-in exact percentile (one value->count map) is used.
-BUILTIN_DISTINCT_LIMIT = 1_000_000
+# Up to this many distinct values the built-in exact percentile (one value -> count map) is used.
+BUILTIN_DISTINCT_LIMIT = 100_000
+
+
+@dataclass(frozen=True)
+class Spread:
+    """What the search needs to know about a column beforehand."""
+
+    rows: int
+    distinct: int
+    low: float | None
+    high: float | None
+
+    @staticmethod
+    def columns(x: Column) -> list[Column]:
+        """Aggregates for one pass over the data, to be handed to :meth:`of`."""
+        return [
+            F.count(x).alias("_rows"),
+            F.approx_count_distinct(x, 0.02).alias("_distinct"),
+            F.min(x).alias("_low"),
+            F.max(x).alias("_high"),
+        ]
+
+    @staticmethod
+    def of(row) -> Spread:
+        return Spread(row["_rows"], row["_distinct"], row["_low"], row["_high"])
 
 
 def exact_percentiles(
     df: DataFrame,
     column: str,
     fractions: tuple[float, ...] = (0.25, 0.5, 0.75),
+    spread: Spread | None = None,
     distinct_limit: int = BUILTIN_DISTINCT_LIMIT,
 ) -> list[float | None]:
     """Percentiles with linear interpolation between the two neighbouring ranks.
 
-    The built-in ``percentile`` keeps every distinct value in one task, so it is used only when
-    an estimate shows that there are few. Otherwise each wanted rank is narrowed down by counting
-    rows per bucket of the value range, until a bucket holds a single value: a handful of
-    aggregations, each returning at most ``BUCKETS`` rows per open range.
+    The built-in ``percentile`` keeps every distinct value in one task, so it is used only where
+    an estimate shows that there are few. Otherwise the wanted ranks are narrowed down by
+    counting rows per bucket of the value range: one aggregation per level for all ranks
+    together, each level splitting a range into ``BUCKETS`` parts.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-    stats = values.agg(
-        F.count("v").alias("n"),
-        F.approx_count_distinct("v", 0.02).alias("distinct"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    ).first()
-    if stats.n == 0:
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    spread = spread or Spread.of(values.agg(*Spread.columns(F.col("v"))).first())
+    if spread.rows == 0:
         return [None] * len(fractions)
-    if stats.distinct <= distinct_limit:
+    if spread.distinct <= distinct_limit:
         return list(values.agg(F.percentile("v", list(fractions))).first()[0])
 
-    positions = [q * (stats.n - 1) for q in fractions]
+    positions = [q * (spread.rows - 1) for q in fractions]
     ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
-    at_rank = _values_at_ranks(values, ranks, stats.lo, stats.hi)
+    at_rank = _values_at_ranks(values, ranks, spread)
     out = []
     for p in positions:
         low, high = at_rank[math.floor(p)], at_rank[math.ceil(p)]
@@ -47,30 +68,51 @@ def exact_percentiles(
     return out
 
 
-def _values_at_ranks(values: DataFrame, ranks: list[int], lo: float, hi: float) -> dict[int, float]:
+@dataclass(frozen=True)
+class _Range:
+    """An open range of values: rows inside, rows below it, and the ranks that fall into it."""
+
+    low: float
+    high: float
+    rows: int
+    below: int
+    ranks: tuple[int, ...]
+
+    def bucket(self) -> Column:
+        """Number of the part a value falls into. Few rows, or a range finer than doubles can
+        split, go by the value itself."""
+        width = (self.high - self.low) / BUCKETS
+        if self.rows <= BUCKETS or self.low + width == self.low:
+            return F.col("v")
+        return F.floor((F.col("v") - self.low) / width).cast("double")
+
+
+def _values_at_ranks(values: DataFrame, ranks: list[int], spread: Spread) -> dict[int, float]:
     """The value at each zero-based rank of the sorted column."""
     found: dict[int, float] = {}
-    # open range -> (rows below it, ranks that fall into it)
-    ranges = {(lo, hi): (0, ranks)}
+    ranges = [_Range(spread.low, spread.high, spread.rows, 0, tuple(ranks))]
     while ranges:
-        following = {}
-        for (low, high), (below, wanted) in ranges.items():
-            if low == high:
-                found.update({r: low for r in wanted})
-                continue
-            width = (high - low) / BUCKETS
-            # Below the resolution of a double the quotient cannot split; then use the values.
-            key = F.col("v") if low + width == low else F.floor((F.col("v") - low) / width)
-            counted = (
-                values.filter(F.col("v").between(low, high))
-                .groupBy(key.alias("bucket"))
-                .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .orderBy("lo")
-            )
-            for row in counted.collect():
-                inside = [r for r in wanted if below <= r < below + row.n]
-                if inside:
-                    following[(row.lo, row.hi)] = (below, inside)
-                below += row.n
+        which = bucket = F.lit(None)
+        for i, r in enumerate(ranges):
+            inside = F.col("v").between(r.low, r.high)
+            which = F.when(inside, i).otherwise(which)
+            bucket = F.when(inside, r.bucket()).otherwise(bucket)
+        counted = (
+            values.select("v", which.alias("which"), bucket.alias("bucket"))
+            .filter("which IS NOT NULL")
+            .groupBy("which", "bucket")
+            .agg(F.count("v").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .orderBy("which", "low")
+        )
+        below = [r.below for r in ranges]
+        following = []
+        for part in counted.collect():
+            i = part.which
+            wanted = tuple(r for r in ranges[i].ranks if below[i] <= r < below[i] + part.rows)
+            if wanted and part.low == part.high:
+                found.update({r: part.low for r in wanted})
+            elif wanted:
+                following.append(_Range(part.low, part.high, part.rows, below[i], wanted))
+            below[i] += part.rows
         ranges = following
     return found

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor import constants as C
 from quaestor.functions.columns import exact_sum, half_even
-from quaestor.operators.percentiles import exact_percentiles
+from quaestor.operators.percentiles import Spread, exact_percentiles
 
 
 def row_counts(raw: DataFrame, clean: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -56,26 +56,46 @@ def late_count(clean: DataFrame) -> DataFrame:
     return clean.agg(F.count_if("is_late").alias("late_arrivals"))
 
 
+def _moments(x: Column) -> list[Column]:
+    return [
+        F.count(x).alias("count"),
+        (exact_sum(x).cast("double") / F.nullif(F.count(x), F.lit(0))).alias("mean"),
+        F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+    ]
+
+
+_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+_STATS_SCHEMA = "count bigint, " + ", ".join(f"{name} double" for name in _STATS[1:])
+
+
 def amount_stats(clean: DataFrame, column: str = "amount_clean", approximate: bool = False) -> DataFrame:
     """One row: count, mean, sample standard deviation, min, quartiles, max.
 
-    Exact quartiles by default; ``approximate=True`` takes Spark's sketch in the same pass.
+    Exact quartiles by default, which takes a few passes; ``approximate=True`` takes Spark's
+    sketch, all in one pass.
     """
     x = F.col(column).cast("double")
     if approximate:
-        quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75])
-    else:
-        quartiles = F.array(*[F.lit(v).cast("double") for v in exact_percentiles(clean, column)])
-    summary = clean.agg(
-        F.count(x).alias("count"),
-        (exact_sum(x).cast("double") / F.nullif(F.count(x), F.lit(0))).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        quartiles.alias("quartiles"),
-        F.max(x).alias("max"),
-    )
-    named = [F.get("quartiles", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
-    return summary.select("count", "mean", "std", "min", *named, "max")
+        quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75]).alias("_quartiles")
+        named = [F.get("_quartiles", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
+        return clean.agg(*_moments(x), quartiles).select("*", *named).select(*_STATS)
+    first_pass = clean.agg(*_moments(x), *Spread.columns(x)).first().asDict()
+    values = _with_quartiles(clean, column, first_pass)
+    return clean.sparkSession.createDataFrame([values], _STATS_SCHEMA)
+
+
+def _with_quartiles(clean: DataFrame, column: str, first_pass: dict) -> tuple:
+    quartiles = exact_percentiles(clean, column, spread=Spread.of(first_pass))
+    named = first_pass | dict(zip(("p25", "p50", "p75"), quartiles))
+    return tuple(named[name] for name in _STATS)
+
+
+def _far(x: Column, mean: float | None, std: float | None, sigmas: float) -> Column:
+    """Further than ``sigmas`` deviations from the mean; null, hence not counted, without any."""
+    limit = F.lit(None if std is None else sigmas * std).cast("double")
+    return F.abs(x - F.lit(mean).cast("double")) > limit
 
 
 def outlier_count(clean: DataFrame, column: str = "amount_clean", sigmas: float = 3.0) -> DataFrame:
@@ -86,9 +106,7 @@ def outlier_count(clean: DataFrame, column: str = "amount_clean", sigmas: float
     """
     x = F.col(column).cast("double")
     mean, std = clean.agg(F.avg(x), F.stddev_samp(x)).first()
-    limit = F.lit(None if std is None else sigmas * std).cast("double")
-    far = F.abs(x - F.lit(mean).cast("double")) > limit
-    return clean.agg(F.count_if(far).alias("amount_outliers"))
+    return clean.agg(F.count_if(_far(x, mean, std, sigmas)).alias("amount_outliers"))
 
 
 def rejection_report(clean: DataFrame) -> DataFrame:
@@ -109,50 +127,52 @@ def rejection_report(clean: DataFrame) -> DataFrame:
 def quality_metrics(raw: DataFrame, clean: DataFrame, ledger: DataFrame) -> DataFrame:
     """One row with all metrics: nested structs, and a map for rows per status.
 
-    The parts that only count come from one pass over ``clean``; duplicates (a shuffle on the
-    id), outliers and the sizes of the other two tables are scalar subqueries.
+    One pass over ``clean`` counts everything that can be counted at once. The quartiles add
+    their own passes; the last one counts the outliers, with the duplicate ids (a shuffle on the
+    id) and the sizes of the other two tables as scalar subqueries.
     """
-    total = F.count(F.lit(1))
-    failed = F.count_if(F.col("status_clean") != "SUCCESS")
+    x = F.col("amount_clean").cast("double")
     nulls = [c for c in C.QUALITY_NULL_COLUMNS if c in clean.columns]
-    base = clean.agg(
-        total.alias("transformed_total"),
-        failed.alias("total_failed"),
-        F.count_if(F.col("status_clean") == "SUCCESS").alias("_success"),
-        *[F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in nulls],
-        F.count_if("is_late").alias("late_arrivals"),
-    )
-    stats = amount_stats(clean).select(F.struct("*")).scalar()
-    by_status = F.map_from_entries(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(F.col(n) > 0, F.struct(F.lit(word).alias("k"), F.col(n).alias("v")))
-                    for word, n in (("SUCCESS", "_success"), ("FAILED", "total_failed"))
-                ]
-            )
+    found = (
+        clean.agg(
+            *_moments(x),
+            *Spread.columns(x),
+            F.count(F.lit(1)).alias("total"),
+            F.count_if(F.col("status_clean") == "SUCCESS").alias("SUCCESS"),
+            F.count_if(F.col("status_clean") == "FAILED").alias("FAILED"),
+            *[F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in nulls],
+            F.count_if("is_late").alias("late_arrivals"),
         )
+        .first()
+        .asDict()
     )
-    raw_n = raw.agg(F.count(F.lit(1))).scalar()
-    ledger_n = ledger.agg(F.count(F.lit(1))).scalar()
-    rate = F.coalesce(
-        F.col("total_failed") / F.nullif("transformed_total", F.lit(0)), F.lit(0.0)
-    )
-    return base.select(
+    stats = zip(_STATS, _with_quartiles(clean, "amount_clean", found))
+    by_status = [F.lit(v) for s in ("SUCCESS", "FAILED") if found[s] for v in (s, found[s])]
+    total, failed = found["total"], found["FAILED"]
+    ledger_rows = ledger.agg(F.count(F.lit(1))).scalar()
+
+    def number(name: str) -> Column:
+        return F.lit(found[name]).cast("bigint").alias(name)
+
+    return clean.agg(F.count_if(_far(x, found["mean"], found["std"], 3.0)).alias("outliers")).select(
         F.struct(
-            raw_n.alias("raw_total"),
-            "transformed_total",
-            ledger_n.alias("ledger_total"),
-            (F.col("transformed_total") - ledger_n).alias("skipped_total"),
+            raw.agg(F.count(F.lit(1))).scalar().alias("raw_total"),
+            F.lit(total).cast("bigint").alias("transformed_total"),
+            ledger_rows.alias("ledger_total"),
+            (F.lit(total).cast("bigint") - ledger_rows).alias("skipped_total"),
         ).alias("row_counts"),
         F.struct(
-            by_status.alias("by_status"), "total_failed", rate.alias("failure_rate")
+            F.create_map(*by_status).cast("map<string,bigint>").alias("by_status"),
+            F.lit(failed).cast("bigint").alias("total_failed"),
+            F.lit(failed / total if total else 0.0).alias("failure_rate"),
         ).alias("rejection_reasons"),
         F.struct(
-            *[f"{c}_missing" for c in nulls],
+            *[number(f"{c}_missing") for c in nulls],
             duplicate_count(clean).scalar().alias("duplicate_txn_ids"),
-            "late_arrivals",
-            stats.alias("amount_statistics"),
-            outlier_count(clean).scalar().alias("amount_outliers"),
+            number("late_arrivals"),
+            F.struct(
+                *[F.lit(v).cast("bigint" if n == "count" else "double").alias(n) for n, v in stats]
+            ).alias("amount_statistics"),
+            F.col("outliers").alias("amount_outliers"),
         ).alias("data_quality_flags"),
     )

@@ -198,9 +198,10 @@ def run_aml_job(
             raise ValueError(f"Column account_id has {without_account} null values")
         sinks.replace_parquet(apply_rules(aml_features(ledger, params), params), scored_path)
         scored = spark.read.parquet(scored_path)
-        alerts = aml_alerts.generate_alerts(scored, run_time or _now(), params.inline_ids_limit)
+        hits = aml_alerts.triggered(scored)
+        alerts = aml_alerts.generate_alerts(hits, run_time or _now(), params.inline_ids_limit)
         sinks.write_aml_alerts(alerts, alerts_path)
-        sinks.replace_parquet(aml_alerts.alert_transactions(scored), members_path)
+        sinks.replace_parquet(aml_alerts.alert_transactions(hits), members_path)
         metrics = aml_metrics(scored).first().asDict()
         metrics["alerts_generated"] = spark.read.parquet(alerts_path).count()
     except Exception as error:

@@ -29,7 +29,7 @@ from quaestor.operators import aml_alerts as alerting
 from quaestor.operators.contracts import ColumnRule, Contract, Reference
 from quaestor.params import AmlParams, FeedParams, TrustParams
 from quaestor.plans.stages import StageStore
-from quaestor.session import scratch_path
+from quaestor.session import cut_lineage, scratch_path
 from quaestor.sources import sinks
 from quaestor.sources.feed import as_feed, events_feed, orders_feed, read_feed_csv, read_ledger, table
 from quaestor.streaming import ledger_stream
@@ -108,6 +108,11 @@ def _scored(spark, d, params=AML):
     return rules.apply_rules(features.aml_features(_ledger_b(spark, d), params), params)
 
 
+def _hits(spark, d, params=AML):
+    """Alerted transactions by rule, stored once for the several uses alerts make of them."""
+    return cut_lineage(alerting.triggered(_scored(spark, d, params)))
+
+
 def _doubles(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
@@ -462,29 +467,29 @@ def _joined_ids(alerts: DataFrame) -> DataFrame:
 
 @query
 def aml_alerts(spark, d):
-    return _joined_ids(alerting.deduplicated_alerts(_scored(spark, d)))
+    return _joined_ids(alerting.deduplicated_alerts(_hits(spark, d)))
 
 
 @query
 def aml_alert_numbers(spark, d):
-    return alerting.generate_alerts(_scored(spark, d), RUN_TIME).select(
+    return alerting.generate_alerts(_hits(spark, d), RUN_TIME).select(
         "alert_id", "alert_timestamp", "account_id", "rule_id", "triggering_txn_count", "description", "status"
     )
 
 
 @query
 def aml_alert_transactions(spark, d):
-    return alerting.alert_transactions(_scored(spark, d))
+    return alerting.alert_transactions(alerting.triggered(_scored(spark, d)))
 
 
 @query
 def aml_alerts_by_severity(spark, d):
-    return alerting.alerts_by_severity(alerting.alert_totals(_scored(spark, d)))
+    return alerting.alerts_by_severity(alerting.alert_totals(alerting.triggered(_scored(spark, d))))
 
 
 @query
 def aml_alerts_days(spark, d):
-    return alerting.alert_totals(_scored(spark, d, AML_DAYS))
+    return alerting.alert_totals(alerting.triggered(_scored(spark, d, AML_DAYS)))
 
 
 # --- Contracts ----------------------------------------------------------------------------------

@@ -16,15 +16,20 @@ def feed_schema(columns=C.REQUIRED_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_feed_csv(spark: SparkSession, path: str, columns=C.REQUIRED_COLUMNS) -> DataFrame:
+def read_feed_csv(
+    spark: SparkSession, path: str, columns=C.REQUIRED_COLUMNS, multi_line: bool = False
+) -> DataFrame:
     """Read a CSV feed with a header; every value stays text, NA words become null.
 
     Column names come from the header, so extra columns are kept and no schema is inferred
-    from the values. Files are split by Spark; there is no chunk size to choose.
+    from the values; every file's header must agree. Files are split by Spark, so there is no
+    chunk size to choose. ``multi_line`` allows line breaks inside quotes, at the price of
+    reading each file in one task.
     """
     if not fs.exists(spark, path):
         raise FileNotFoundError(path)
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    options = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line}
+    df = spark.read.options(**options).csv(path)
     check_columns(df, columns)
     return df.withColumns({c: na_to_null(F.col(c)) for c in columns})
 
