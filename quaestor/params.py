@@ -81,7 +81,7 @@ class AmlParams:
     medium: float = 50
     high: float = 75
     inline_ids_limit: int = 100_000
-    skew: SkewParams = field(default_factory=SkewParams)
+    skew: SkewParams | None = field(default_factory=SkewParams)
 
     def __post_init__(self):
         _require(self.velocity_frame in ("rows", "days"), "velocity_frame is 'rows' or 'days'")
