@@ -41,3 +41,14 @@ def find_hot_keys(df: DataFrame, columns: tuple[str, ...], params: SkewParams) -
     hot = cut_lineage(per_key.filter(F.col("_rows") > limit))
     rows = hot.agg(F.sum("_rows")).first()[0]
     return HotKeys(hot.drop("_rows"), tuple(columns), rows)
+
+
+def gather(df: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle so that rows with equal ``columns`` are in one partition, for certain.
+
+    Operators that walk a partition (``mapInArrow``) state no requirement of their own. If the
+    rows already came partitioned by these columns, the optimizer would drop a plain
+    ``repartition`` and could still re-plan the join beneath it. Partitioning by a hash of the
+    columns differs from what is beneath, so this shuffle stays.
+    """
+    return df.repartition(F.xxhash64(*columns))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import micros
-from quaestor.operators.skew import find_hot_keys
+from quaestor.operators.skew import find_hot_keys, gather
 from quaestor.params import SkewParams
 
 ALWAYS = -(2**63)
@@ -55,7 +55,7 @@ def _whole(keyed: DataFrame) -> DataFrame:
 
 def _replay(grouped: DataFrame, tie: str, wait: int) -> DataFrame:
     """Walk every ``(_key, _group)`` in time order; an event is sent from ``_entry`` on."""
-    ordered = grouped.repartition("_key", "_group").sortWithinPartitions("_key", "_group", "_at", tie)
+    ordered = gather(grouped, "_key", "_group").sortWithinPartitions("_key", "_group", "_at", tie)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, allowed = None, ALWAYS
@@ -137,7 +137,7 @@ def _stretches(hot_rows: DataFrame, wait: int) -> DataFrame:
             )
 
     entries = (
-        maps.repartition("_key")
+        gather(maps, "_key")
         .sortWithinPartitions("_key", "_group", "upto")
         .mapInArrow(chain, "_key string, _group bigint, _entry bigint")
     )

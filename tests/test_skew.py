@@ -113,3 +113,13 @@ def test_numbering_is_contiguous(spark):
     df = spark.range(1000).select(F.col("id"), F.pmod(F.col("id") * 7919, F.lit(1000)).alias("x")).repartition(6)
     got = [(r.x, r.n) for r in number_in_order(df, ("x",), "n").collect()]
     assert sorted(got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_gather_is_not_optimized_away(noisy):
+    """A plain repartition after a grouping by the same key is dropped, and then nothing keeps
+    the rows of a key together when the join beneath is re-planned."""
+    _, df = noisy
+    grouped = df.groupBy("k").agg(F.max("i").alias("i"))
+    shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(grouped.repartition("k")) == 1
+    assert shuffles(skew.gather(grouped, "k")) == 2
