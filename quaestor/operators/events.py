@@ -30,11 +30,15 @@ def alert_id() -> Column:
 
 
 def send_events(
-    events: DataFrame, tie: str, params: TrustParams = TrustParams(), skew: SkewParams = SkewParams()
+    events: DataFrame,
+    tie: str,
+    params: TrustParams = TrustParams(),
+    skew: SkewParams = SkewParams(),
+    last_sent: DataFrame | None = None,
 ) -> DataFrame:
     """Events that pass the severity filter and the throttle, with their ids."""
     passing = filter_severity(events, params.severity_filter)
-    sent = throttle(passing, throttle_key(), "event_at", tie, params.throttle_minutes, skew)
+    sent = throttle(passing, throttle_key(), "event_at", tie, params.throttle_minutes, skew, last_sent)
     return sent.withColumn("alert_id", alert_id())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.session import cut_lineage
@@ -32,6 +32,8 @@ def _node(df: DataFrame, node_id: str, node_type: str, name: str, operation: str
 
 
 def source_node(df: DataFrame, run_id: str, name: str, path: str, file_hash: str | None = None) -> DataFrame:
+    """A source; without a ``file_hash`` its content is fingerprinted in the pass that counts."""
+    content = _content_sum(df.columns).cast("string") if file_hash is None else F.lit(file_hash)
     return _node(
         df,
         f"{run_id}_source_{name}",
@@ -39,7 +41,7 @@ def source_node(df: DataFrame, run_id: str, name: str, path: str, file_hash: str
         name,
         "load",
         file_path=F.lit(path),
-        file_hash=F.lit(file_hash).cast("string"),
+        file_hash=content,
     )
 
 
@@ -137,6 +139,9 @@ def table_fingerprint(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     Every row is hashed where it is read and only sums travel, at any size of table. Give exact
     columns (integers, strings, dates); null is marked apart from the empty string.
     """
+    return df.agg(F.count(F.lit(1)).alias("row_count"), _content_sum(columns).alias("fingerprint"))
+
+
+def _content_sum(columns) -> Column:
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    prefix = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(prefix).alias("fingerprint"))
+    return F.sum(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)"))

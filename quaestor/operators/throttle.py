@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import micros
-from quaestor.operators.skew import find_hot_keys, gather
+from quaestor.operators.skew import HotKeys, find_hot_keys, gather
 from quaestor.params import SkewParams
 
 ALWAYS = -(2**63)
-# Stretch of a hot key that one task replays, in throttle intervals.
-INTERVALS_PER_STRETCH = 12
+# The shortest stretch of a hot key that one task replays, in throttle intervals.
+MIN_INTERVALS = 12
 
 
 def throttle(
@@ -32,27 +32,41 @@ def throttle(
     tie: str,
     minutes: float,
     skew: SkewParams = SkewParams(),
+    last_sent: DataFrame | None = None,
 ) -> DataFrame:
     """The events that are sent. Per key, the first is; then each one at least ``minutes`` after
-    the last sent one. Equal timestamps are taken in order of ``tie``."""
+    the last sent one. Equal timestamps are taken in order of ``tie``.
+
+    ``last_sent`` ``(key, last_us)`` carries on from earlier events: one row per key with the
+    time of its last sent event in microseconds.
+    """
     wait = round(minutes * 60_000_000)
     if wait <= 0:
         return events
     keyed = events.withColumns({"_key": key.cast("string"), "_at": micros(F.col(at))})
+    if last_sent is not None:
+        known = last_sent.select(F.col("key").alias("_key"), (F.col("last_us") + wait).alias("_from"))
+        due = keyed.join(known, "_key", "left").filter("_from IS NULL OR _at >= _from")
+        keyed = due.select(*keyed.columns)
     hot = find_hot_keys(keyed, ("_key",), skew)
     if hot is None:
         return _replay(_whole(keyed), tie, wait)
     cold_rows, hot_rows = hot.split(keyed)
-    return _replay(_whole(cold_rows), tie, wait).unionByName(
-        _replay(_stretches(hot_rows, wait), tie, wait)
-    )
+    stretches = _stretches(hot_rows, wait, _intervals(hot, hot_rows, skew, wait))
+    return _replay(_whole(cold_rows), tie, wait).unionByName(_replay(stretches, tie, wait))
 
 
 def _whole(keyed: DataFrame) -> DataFrame:
-    """Each key is one group that starts with nothing sent."""
+    """Each key is one group that may send from the start."""
     return keyed.withColumns({"_group": F.lit(0).cast("bigint"), "_entry": F.lit(ALWAYS).cast("bigint")})
 
 
+def _intervals(hot: HotKeys, hot_rows: DataFrame, skew: SkewParams, wait: int) -> int:
+    """How many throttle intervals to a stretch, for about ``slice_rows`` rows in each."""
+    first, last = hot_rows.agg(F.min("_at"), F.max("_at")).first()
+    return max(MIN_INTERVALS, (last - first) * skew.slice_rows // (hot.rows * wait))
+
+
 def _replay(grouped: DataFrame, tie: str, wait: int) -> DataFrame:
     """Walk every ``(_key, _group)`` in time order; an event is sent from ``_entry`` on."""
     ordered = gather(grouped, "_key", "_group").sortWithinPartitions("_key", "_group", "_at", tie)
@@ -74,7 +88,7 @@ def _replay(grouped: DataFrame, tie: str, wait: int) -> DataFrame:
     return kept.drop("_key", "_group", "_at", "_entry")
 
 
-def _stretches(hot_rows: DataFrame, wait: int) -> DataFrame:
+def _stretches(hot_rows: DataFrame, wait: int, intervals: int) -> DataFrame:
     """Rows of hot keys with their stretch as ``_group`` and the time from which it may send.
 
     What an earlier stretch does to a later one is a single time: from when on it may send, and
@@ -83,7 +97,7 @@ def _stretches(hot_rows: DataFrame, wait: int) -> DataFrame:
     results merged). Those few rows per stretch are then chained per key, which gives the actual
     entry of each stretch.
     """
-    stretch = wait * INTERVALS_PER_STRETCH
+    stretch = wait * intervals
     grouped = hot_rows.withColumn("_group", F.floor(F.col("_at") / F.lit(stretch)).cast("bigint"))
 
     def handovers(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +146,11 @@ def _stretches(hot_rows: DataFrame, wait: int) -> DataFrame:
                 if not resolved and upto >= allowed:
                     allowed, resolved = leaves, True
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["_key"], pa.string()), pa.array(rows["_group"], pa.int64()), pa.array(rows["_entry"], pa.int64())],
+                [
+                    pa.array(rows["_key"], pa.string()),
+                    pa.array(rows["_group"], pa.int64()),
+                    pa.array(rows["_entry"], pa.int64()),
+                ],
                 names=list(rows),
             )
 

@@ -524,6 +524,4 @@ SELECT account_id, window_start, window_start + INTERVAL 7 DAY AS window_end, co
        {_money('abs(amount)')} AS amount_sum FROM placed
 WHERE window_start + INTERVAL 7 DAY <= (SELECT max(txn_date) FROM ledger) - INTERVAL 7 DAY
 GROUP BY account_id, window_start"""
-ORACLES["stream_throttle"] = f"""WITH RECURSIVE {_SENT}
-SELECT category || ':' || title AS throttle_key, event_id, epoch_us(event_at) AS at_us FROM passing
-WHERE event_id IN (SELECT event_id FROM sent)"""
+ORACLES["stream_throttle"] = ORACLES["alert_throttle"]

@@ -858,15 +858,17 @@ def stream_deduplicated(spark, d):
 
 @query
 def stream_balances(spark, d):
-    """A CSV feed that arrives in several batches, each with rows of days seen before."""
+    """A CSV feed that arrives in two deliveries; the second has late rows for days of the first."""
     path = scratch_path(spark, "balances")
     feed = events_feed(spark, d)
     text = feed.select(*[F.col(c).cast("string").alias(c) for c in feed.columns])
-    text.repartition(3, "account_id").write.option("header", True).csv(f"{path}/feed")
-    kept = ledger_stream.stream_ledger(ledger_stream.stream_feed(spark, f"{path}/feed", max_files=1))
-    ledger_stream.repair_balances(
-        kept, f"{path}/ledger", f"{path}/balance", f"{path}/checkpoint"
-    ).awaitTermination()
+    early = F.col("txn_type").isin("CARD", "TRANSFER")
+    for delivery in (early, ~early):
+        text.filter(delivery).write.mode("append").option("header", True).csv(f"{path}/feed")
+        kept = ledger_stream.stream_ledger(ledger_stream.stream_feed(spark, f"{path}/feed"))
+        ledger_stream.repair_balances(
+            kept, f"{path}/ledger", f"{path}/balance", f"{path}/checkpoint"
+        ).awaitTermination()
     return spark.read.parquet(f"{path}/balance").drop("txn_day")
 
 
@@ -879,5 +881,15 @@ def stream_velocity(spark, d):
 
 @query
 def stream_throttle(spark, d):
-    passing = events.filter_severity(_event_rows(_stream_events(spark, d)), NOISY.severity_filter)
-    return _drained(spark, "throttle", ledger_stream.throttle_stream(passing, NOISY.throttle_minutes))
+    """Events that arrive in three deliveries, one after the other in time."""
+    path = scratch_path(spark, "throttle")
+    alerts = _alerts(spark, d).drop("value")
+    at = F.col("event_at")
+    first, second = (F.lit(day).cast("timestamp_ntz") for day in ("2024-01-11", "2024-01-21"))
+    for delivery in (at < first, (at >= first) & (at < second), at >= second):
+        alerts.filter(delivery).write.mode("append").parquet(f"{path}/alerts")
+        stream = spark.readStream.schema(alerts.schema).parquet(f"{path}/alerts")
+        ledger_stream.throttle_stream(
+            stream, "event_id", f"{path}/sent", f"{path}/state", f"{path}/checkpoint", NOISY
+        ).awaitTermination()
+    return spark.read.parquet(f"{path}/sent").select("event_id", "event_at", "alert_id")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quaestor.functions.columns import event_time, exact_sum, micros, na_to_null, zone_free
+from quaestor.operators import events
 from quaestor.operators.balance import daily_balance
 from quaestor.operators.transform import clean_transactions, ledger_of
-from quaestor.params import FeedParams
+from quaestor.params import FeedParams, SkewParams, TrustParams
+from quaestor.sources import fs
 from quaestor.sources.feed import feed_schema
 
 
@@ -65,10 +63,11 @@ def repair_balances(ledger: DataFrame, ledger_path: str, balance_path: str, chec
         dated = batch.withColumn("txn_day", F.to_date("txn_date"))
         dated.write.mode("overwrite").partitionBy("txn_day").parquet(f"{ledger_path}/batch={batch_id}")
         written = spark.read.schema(dated.schema).parquet(f"{ledger_path}/batch={batch_id}")
-        touched = written.select("txn_day").distinct()
+        # Days, not rows: as a list of constants they prune the partitions that are read.
+        touched = [r.txn_day for r in written.select("txn_day").distinct().collect()]
         everything = spark.read.option("basePath", ledger_path).schema(dated.schema).parquet(ledger_path)
-        rebuilt = everything.join(touched, "txn_day", "left_semi")
-        balance = daily_balance(rebuilt).withColumn("txn_day", F.to_date("txn_date"))
+        balance = daily_balance(everything.filter(F.col("txn_day").isin(touched)))
+        balance = balance.withColumn("txn_day", F.to_date("txn_date"))
         (
             balance.repartition("txn_day", F.pmod(F.xxhash64("account_id"), F.lit(16)))
             .write.mode("overwrite")
@@ -105,34 +104,39 @@ def event_time_velocity(
     )
 
 
-def throttle_stream(events: DataFrame, minutes: float) -> DataFrame:
-    """Throttle a stream of events by category and title; the state is the last sent time.
-
-    Within a micro-batch events are taken in time order. One that arrives in a later batch but
-    is older than the last sent one is dropped.
+def throttle_stream(
+    alerts: DataFrame,
+    tie: str,
+    sent_path: str,
+    state_path: str,
+    checkpoint: str,
+    params: TrustParams = TrustParams(),
+    skew: SkewParams = SkewParams(),
+) -> StreamingQuery:
+    """Send the events of a stream: filter, throttle and number them batch by batch.
+
+    Each micro-batch goes through the batch operator, so that a key of any size is split there
+    too. What carries over is a table with the last sent time per key, one version per batch: a
+    retried batch reads the version before it and writes the same rows again. An event that
+    arrives in a later batch but is older than the last sent one is dropped.
     """
-    wait = round(minutes * 60_000_000)
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
-        pdf = pd.concat(frames).sort_values(["at_us", "event_id"], ignore_index=True)
-        keep = []
-        for at in pdf["at_us"]:
-            sent = last is None or at - last >= wait
-            last = at if sent else last
-            keep.append(sent)
-        state.update((int(last),))
-        yield pdf[keep]
-
-    slim = events.select(
-        F.concat_ws(":", "category", "title").alias("throttle_key"),
-        F.col("event_id").cast("bigint").alias("event_id"),
-        micros(F.col("event_at")).alias("at_us"),
-    )
-    return slim.groupBy("throttle_key").applyInPandasWithState(
-        fold,
-        outputStructType="throttle_key string, event_id bigint, at_us bigint",
-        stateStructType="last bigint",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before, after = f"{state_path}/batch={batch_id - 1}", f"{state_path}/batch={batch_id}"
+        known = spark.read.parquet(before) if fs.exists(spark, before) else None
+        sent = events.send_events(batch, tie, params, skew, known)
+        sent.write.mode("overwrite").parquet(f"{sent_path}/batch={batch_id}")
+        written = spark.read.schema(sent.schema).parquet(f"{sent_path}/batch={batch_id}")
+        latest = written.select(events.throttle_key().alias("key"), micros(F.col("event_at")).alias("last_us"))
+        if known is not None:
+            latest = latest.unionByName(known)
+        latest.groupBy("key").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(after)
+        fs.remove(spark, f"{state_path}/batch={batch_id - 2}")
+
+    return (
+        alerts.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )

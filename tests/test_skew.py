@@ -123,3 +123,19 @@ def test_gather_is_not_optimized_away(noisy):
     shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert shuffles(grouped.repartition("k")) == 1
     assert shuffles(skew.gather(grouped, "k")) == 2
+
+
+@pytest.mark.parametrize("hot", [10**6, 500])
+def test_throttle_goes_on_from_last_sent(spark, noisy, hot):
+    """Throttling in two parts, with the state of the first, equals throttling at once."""
+    rows, df = noisy
+    params = SkewParams(min_hot_rows=hot, slice_rows=100)
+    split = F.lit("1969-12-31 23:00:00").cast("timestamp_ntz")
+    first = throttle(df.filter(F.col("at") < split), F.col("k"), "at", "i", 5, params)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    state = first.groupBy(F.col("k").alias("key")).agg(
+        F.timestamp_diff("MICROSECOND", epoch, F.max("at")).alias("last_us")
+    )
+    second = throttle(df.filter(F.col("at") >= split), F.col("k"), "at", "i", 5, params, state)
+    got = [r.i for r in first.unionByName(second).select("i").collect()]
+    assert sorted(got) == sorted(brute_force(rows, 300))
