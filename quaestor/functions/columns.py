@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from quaestor import constants as C
 
 MONEY = "decimal(28,10)"
+INTEGER = r"^[+-]?[0-9]+$"
+NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?)$"
 
 
 def or_false(cond: Column) -> Column:
@@ -31,9 +33,8 @@ def lenient_double(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
     text = F.trim(c.cast("string"))
-    # Java also reads "12d" and "12f" as numbers; a feed means neither.
-    java_suffix = text.rlike(r"[0-9.][dDfF]$")
-    return F.when(~java_suffix, text.try_cast("double"))
+    # The pattern goes first: a failing cast is far dearer, and Java would read "12d" as well.
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def lenient_timestamp(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:

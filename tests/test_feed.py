@@ -138,6 +138,8 @@ def test_empty_success_list_means_default(feed):
         (" 7 ", "CARD", 7.0),
         ("abc", "CARD", 0.0),
         ("12d", "CARD", 0.0),
+        ("1.5F", "CARD", 0.0),
+        ("0x1f", "CARD", 0.0),
         ("nan", "CARD", 0.0),
         (None, "CARD", 0.0),
         ("5", None, 5.0),
