@@ -40,6 +40,7 @@ class _Trust:
         self.root = f"{out}/trust"
         self.run_id = uuid.uuid4().hex[:8]
         self.nodes: list[DataFrame] = []
+        self.drifts: list[DataFrame] = []
         self.runs: list[tuple] = []
         self.freshness: list[tuple] = []
 
@@ -48,7 +49,7 @@ class _Trust:
 
     def check_drift(self, df: DataFrame, source: str) -> None:
         found = drift.detect_drift(df, source, f"{self.root}/schema_baselines", _now(), self.params)
-        sinks.append_events_json(found, f"{self.root}/drift_events")
+        self.drifts.append(found)
         self.emit(events.drift_events(found, _now()))
 
     def emit(self, rows: DataFrame) -> None:
@@ -68,6 +69,9 @@ class _Trust:
 
     def finish(self) -> None:
         sinks.append_events_json(reduce(DataFrame.unionByName, self.nodes), f"{self.root}/lineage")
+        found = reduce(DataFrame.unionByName, self.drifts)
+        sinks.append_events_json(found, f"{self.root}/drift_events")
+        sinks.write_report_json(drift.drift_summary(found), f"{self.root}/drift_summary")
         metrics = self.sla_metrics()
         sinks.append_events_json(metrics, f"{self.root}/sla_metrics")
         sinks.write_report_json(sla.sla_report(metrics), f"{self.root}/sla_report")

@@ -45,7 +45,8 @@ def compare(spark, con, query, sql, sf_dir) -> str | None:
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(set(df.columns) ^ set(names))}"
     if ours != theirs:
-        return f"{ours.total()} vs {theirs.total()} rows; only ours {list((ours - theirs).items())[:2]}; only SQL {list((theirs - ours).items())[:2]}"
+        extra, lacking = list((ours - theirs).items())[:2], list((theirs - ours).items())[:2]
+        return f"{ours.total()} vs {theirs.total()} rows; only ours {extra}; only SQL {lacking}"
     return None if ours else "no rows"
 
 

@@ -54,6 +54,7 @@ def test_ledger_job(spark, tmp_path):
     assert nodes["ledger"]["row_delta"] == -1 and len(nodes) == 5
     subjects = {m["subject"] for m in json_rows(out / "trust" / "sla_metrics")}
     assert {"raw_transactions", "extract_step", "load_step"} <= subjects
+    assert json_rows(out / "trust" / "drift_summary")[0]["status"] == "healthy"
     assert not (out / "stages").exists() or not any((out / "stages").iterdir())
     # again: same tables, no leftovers
     jobs.run_ledger_job(spark, feed, str(out))
