@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 2_048
-# Up to this many distinct values the built-in exact percentile (one value -> count map) is used.
-BUILTIN_DISTINCT_LIMIT = 100_000
+# Up to this many rows the built-in exact percentile (one value -> count map) is used.
+BUILTIN_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -18,7 +18,6 @@ class Spread:
     """What the search needs to know about a column beforehand."""
 
     rows: int
-    distinct: int
     low: float | None
     high: float | None
 
@@ -27,14 +26,13 @@ class Spread:
         """Aggregates for one pass over the data, to be handed to :meth:`of`."""
         return [
             F.count(x).alias("_rows"),
-            F.approx_count_distinct(x, 0.02).alias("_distinct"),
             F.min(x).alias("_low"),
             F.max(x).alias("_high"),
         ]
 
     @staticmethod
     def of(row) -> Spread:
-        return Spread(row["_rows"], row["_distinct"], row["_low"], row["_high"])
+        return Spread(row["_rows"], row["_low"], row["_high"])
 
 
 def exact_percentiles(
@@ -42,12 +40,12 @@ def exact_percentiles(
     column: str,
     fractions: tuple[float, ...] = (0.25, 0.5, 0.75),
     spread: Spread | None = None,
-    distinct_limit: int = BUILTIN_DISTINCT_LIMIT,
+    builtin_rows: int = BUILTIN_ROWS,
 ) -> list[float | None]:
     """Percentiles with linear interpolation between the two neighbouring ranks.
 
     The built-in ``percentile`` keeps every distinct value in one task, so it is used only where
-    an estimate shows that there are few. Otherwise the wanted ranks are narrowed down by
+    the count shows that there are few. Otherwise the wanted ranks are narrowed down by
     counting rows per bucket of the value range: one aggregation per level for all ranks
     together, each level splitting a range into ``BUCKETS`` parts.
     """
@@ -55,7 +53,7 @@ def exact_percentiles(
     spread = spread or Spread.of(values.agg(*Spread.columns(F.col("v"))).first())
     if spread.rows == 0:
         return [None] * len(fractions)
-    if spread.distinct <= distinct_limit:
+    if spread.rows <= builtin_rows:
         return list(values.agg(F.percentile("v", list(fractions))).first()[0])
 
     positions = [q * (spread.rows - 1) for q in fractions]

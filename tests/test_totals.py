@@ -142,4 +142,4 @@ def test_narrowed_percentiles_are_exact(spark, shape):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     fractions = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
     built_in = exact_percentiles(df, "x", fractions)
-    assert exact_percentiles(df, "x", fractions, distinct_limit=0) == pytest.approx(built_in, rel=1e-15)
+    assert exact_percentiles(df, "x", fractions, builtin_rows=0) == pytest.approx(built_in, rel=1e-15)
