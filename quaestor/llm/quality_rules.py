@@ -31,6 +31,9 @@ STOP_WORDS = (
 )
 
 
+STOP_FORMS = sorted({form for word in STOP_WORDS for form in (word, word.capitalize(), word.upper())})
+
+
 @dataclass(frozen=True)
 class Rule:
     """A text passes if ``low <= numerator / denominator <= high``, or if the denominator is below ``least``."""
@@ -53,45 +56,39 @@ RULES = (
 )
 
 
-def _size(array: str) -> Column:
-    return F.size(F.col(array))
-
-
 def measured(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carried`` columns, under a struct ``row``, and the counts of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*carried).alias("row"), text.alias("t"))
     rows = rows.select(
         "row",
-        F.length(F.translate("t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(r"\p{Lu}{4,}")).cast("long").alias("n_shouted"),
         F.filter(F.split("t", rf"[{SPACE}]+"), lambda w: w != "").alias("words"),
-        F.filter(F.split("t", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "")) != "").alias("lines"),
-    )
-    hashes = F.when(
-        _size("words") >= WINDOW,
-        F.transform(
-            F.sequence(F.lit(0), _size("words") - WINDOW),
-            lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(WINDOW)]),
-        ),
+        F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]"))).alias("lines"),
     )
-    stop_words = F.filter("words", lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))
-    shouted = F.filter("words", lambda w: (F.length(w) > 3) & (F.upper(w) == w) & (F.lower(w) != w))
+    stop_words = F.filter("words", lambda w: w.isin(*STOP_FORMS))
     rows = rows.select(
         "row",
-        "word_chars",
+        F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         "n_symbols",
+        "n_shouted",
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(stop_words).cast("long").alias("n_stop_words"),
-        F.size(shouted).cast("long").alias("n_shouted"),
-        hashes.alias("hashes"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"),
+    )
+    window = F.transform(
+        "word_hashes",
+        lambda h, i: F.xxhash64(h, *[F.get(F.col("word_hashes"), i + k) for k in range(1, WINDOW)]),
     )
+    hashes = F.slice(window, F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(0)))
+    rows = rows.withColumn("hashes", hashes)
     # Only texts with an equal pair of hashes go further.
     ranked = F.when(
-        F.size(F.array_distinct("hashes")) < _size("hashes"),
+        F.size(F.array_distinct("hashes")) < F.size("hashes"),
         F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
     rows = rows.withColumn("ranked", ranked)
@@ -125,17 +122,13 @@ def measured(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFra
         "starts", lambda s, j: F.least(F.coalesce(F.get(F.col("starts"), j + 1) - s, F.lit(WINDOW)), F.lit(WINDOW))
     )
     covered = F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
-    return rows.select(
-        "row",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
+    counts = F.struct(
+        *("n_words", "word_chars", "n_symbols", "n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        "n_lines",
-        "n_stop_words",
-        "n_shouted",
+        *("n_lines", "n_stop_words", "n_shouted"),
     )
+    # A generator of one row: a filter on the counts is not pushed below it, into the lambdas.
+    return rows.select("row", F.inline_outer(F.array(counts)))
 
 
 def base_failed() -> Column:
