@@ -15,9 +15,11 @@ Exact copies are one set (128-bit digest of all n-grams) from the start, with th
 representative. Links are found in two rounds:
 
 1. Each set joins the block of its most shared part, cut into tries of bounded size by a hash; every one
-   also holds the block's smallest set, so copies connect across the cuts.
-2. Every block whose sets are not yet all connected is compared in full, in pairs of bounded chunks; sets
-   known to be connected are not compared again. No link between unconnected sets is missed.
+   also holds the block's smallest set, so copies connect across the cuts. A block is done when its sets
+   are all connected or were all compared in one trie.
+2. The sets of all blocks that are left are compared in full, in pairs of bounded chunks, where sets known to
+   be connected are not compared again. Blocks that overlap form a family; it is compared as a whole if that
+   moves fewer sets than its blocks one by one. So no link between unconnected sets is missed.
 
 N-grams are 64-bit hashes. Null or wordless texts have no n-grams and link with nothing. Rows that repeat
 a ``doc_id`` count as one document; a null ``doc_id`` gets the representative of equal rows, else null.
@@ -43,7 +45,7 @@ NGRAM = 3
 #: Jaccard threshold as a fraction: den * intersection >= num * union.
 THRESHOLD = (9, 10)
 #: A trie holds about so many sets and n-grams.
-TRIE_SETS = 128
+TRIE_SETS = 256
 TRIE_NGRAMS = 400_000
 CLASS_RATIO = 1.5
 SEEDS = 3
@@ -166,8 +168,8 @@ class Trie:
             stack.extend((child, overlap) for child in node.children.values())
 
 
-def links_of(names: list, sets: list[np.ndarray], labels: list, threshold: tuple[int, int]) -> list[tuple]:
-    """A spanning set of the links between sets of different labels."""
+def links_of(names: list, sets: list[np.ndarray], labels: list, sides: list, threshold: tuple[int, int]) -> list[tuple]:
+    """A spanning set of the links between sets of different labels; with two sides, only across them."""
     grams, place = np.unique(np.concatenate(sets), return_inverse=True)
     rank = np.empty(len(grams), dtype=np.int64)
     rank[np.argsort(-np.bincount(place), kind="stable")] = np.arange(len(grams))
@@ -182,8 +184,12 @@ def links_of(names: list, sets: list[np.ndarray], labels: list, threshold: tuple
 
     num, den = threshold
     trie, member, out = Trie(threshold), np.zeros(len(grams), dtype=bool), []
-    for i in sorted(range(len(sets)), key=lambda i: len(paths[i])):
+    two = len(set(sides)) > 1
+    for i in sorted(range(len(sets)), key=lambda i: (sides[i], len(paths[i]))):
         path = paths[i]
+        if two and sides[i] == 0:
+            trie.insert(path, i)
+            continue
         member[path] = True
         for j, overlap in trie.linked(path, member):
             a, b = root(labels[i]), root(labels[j])
@@ -191,7 +197,8 @@ def links_of(names: list, sets: list[np.ndarray], labels: list, threshold: tuple
                 parent[a] = b
                 out.append((names[i], names[j]))
         member[path] = False
-        trie.insert(path, i)
+        if not two:
+            trie.insert(path, i)
     return out
 
 
@@ -225,27 +232,28 @@ def _contents(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _linked(entries: DataFrame, contents: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links found in each block of ``entries`` (block, rep, label); blocks are of bounded size."""
+    """Links found in each block of ``entries`` (block, side, rep, label); blocks are of bounded size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+                yield from zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
 
         found = []
         for _, group in groupby(rows(), key=lambda r: r[0]):
-            members = {(rep, grams): label for _, rep, label, grams in group}
-            if len(set(members.values())) > 1:
+            members = {(rep, grams): (label, side) for _, side, rep, label, grams in group}
+            labels, sides = zip(*members.values(), strict=True)
+            if len(set(labels)) > 1:
                 names = [rep for rep, _ in members]
                 sets = [np.frombuffer(grams, dtype=np.uint64) for _, grams in members]
-                found += links_of(names, sets, list(members.values()), threshold)
+                found += links_of(names, sets, labels, sides, threshold)
             if len(found) > 10_000:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
                 found = []
         if found:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    rows = entries.join(contents, "rep").select("block", "rep", "label", "grams")
+    rows = entries.join(contents, "rep").select("block", "side", "rep", "label", "grams")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(each, "a long, b long")
 
 
@@ -256,7 +264,8 @@ def _cuts(sets: str = "sets", grams: str = "grams"):
     ).cast("long")
 
 
-def _first_round(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+def _best_blocks(shared: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of the first round, in which each set joins the block of its most shared part, and (rep, tried)."""
     best = shared.groupBy("rep").agg(F.max(F.struct("sharers", "part")).alias("best"))
     chosen = best.select("rep", F.col("best.part").alias("part")).join(sizes, "rep")
     stats = chosen.groupBy("part").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn("cuts", _cuts())
@@ -265,29 +274,50 @@ def _first_round(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     cut = F.pmod(F.xxhash64("rep"), F.col("cuts"))
     members = chosen.join(stats.select("part", "cuts"), "part").withColumn("cut", cut).select(block, "rep")
     every = stats.join(leaders, "part").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    return members.union(every.select(block, "rep")).distinct().withColumn("label", F.col("rep"))
+    entries = members.union(every.select(block, "rep")).distinct()
+    entries = entries.select("block", F.lit(0).alias("side"), "rep", F.col("rep").alias("label"))
+    return entries, members.select("rep", F.col("block").alias("tried"))
 
 
-def _second_round(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Chunks of every block with more than one label, in pairs.
+def _still_open(shared: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
+    """The parts that can hide a link: not all sets connected, and not all compared in one trie just now.
 
-    A label with many sets in the block has chunks of its own, small labels share chunks. Two chunks of one
-    label are not paired.
+    Parts shared by the same sets count once.
     """
-    known = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("part", "rep", F.coalesce("component", "rep").alias("label"))
-    open_ = known.groupBy("part").agg(
-        F.min("label").alias("low"),
-        F.max("label").alias("high"),
+    known = shared.join(labels, "rep", "left").join(tried, "rep")
+    label = F.coalesce("label", "rep")
+    parts = known.groupBy("part").agg(
+        *(F.min(label).alias("low"), F.max(label).alias("high")),
+        *(F.min("tried").alias("first"), F.max("tried").alias("last")),
         F.count("*").alias("sharers"),
-        F.bit_xor(F.xxhash64("rep")).alias("x"),
-        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
+        *(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")),
     )
-    # Parts shared by the same sets make one block.
-    open_ = open_.where("low < high").groupBy("sharers", "x", "y").agg(F.min("part").alias("part")).select("part")
-    rows = stored(known.join(open_, "part").join(sizes, "rep"), "open")
-    if rows.isEmpty():
-        return rows.select(F.lit(0).cast("long").alias("block"), "rep", "label").limit(0)
+    parts = parts.where("low < high and first < last").groupBy("sharers", "x", "y").agg(F.min("part").alias("part"))
+    return shared.join(parts.select("part"), "part", "left_semi")
+
+
+def _groups(shared: DataFrame) -> DataFrame:
+    """(part, rep) to compare: for every family all its sets as one part, or its parts if these are smaller."""
+    first = shared.groupBy("part").agg(F.min("rep").alias("low"), F.count("*").alias("sets"))
+    edges = shared.join(first, "part").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    family = stored(components(edges).toDF("rep", "family"), "families")
+    moved = lambda sets: F.col(sets) * F.ceil(F.col(sets) / F.lit(TRIE_SETS))
+    whole = family.groupBy("family").agg(F.count("*").alias("members"))
+    parts = first.join(family, first.low == family.rep).groupBy("family").agg(F.sum(moved("sets")).alias("moved"))
+    chosen = whole.join(parts, "family").select("family", (moved("members") <= F.col("moved")).alias("as_whole"))
+    plan = family.join(chosen, "family")
+    wholes = plan.where("as_whole").select(F.xxhash64("family").alias("part"), "rep")
+    return wholes.union(shared.join(plan.where("not as_whole"), "rep").select("part", "rep"))
+
+
+def _all_chunks(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of the second round: chunks of every group, in pairs.
+
+    A label with many sets in the group has chunks of its own, small labels share chunks. Two chunks of one
+    label are not paired.
+    """
+    rows = _groups(shared).join(labels, "rep", "left").join(sizes, "rep")
+    rows = stored(rows.select("part", "rep", "n", F.coalesce("label", "rep").alias("label")), "open")
     per = rows.groupBy("part", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn("cuts", _cuts())
     small = per.where("cuts = 1").groupBy("part").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"))
     small = small.select("part", _cuts().alias("bins"))
@@ -303,9 +333,21 @@ def _second_round(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> Dat
         "chunk < chunk2 and (only is null or only2 is null or only <> only2) or chunk = chunk2 and only is null"
     )
     pairs = pairs.select("part", "chunk", "chunk2", F.xxhash64("part", "chunk", "chunk2").alias("block"))
-    one = pairs.select("part", "chunk", "block")
-    two = pairs.where("chunk <> chunk2").select("part", F.col("chunk2").alias("chunk"), "block")
-    return rows.join(one.union(two), ["part", "chunk"]).select("block", "rep", "label")
+    one = pairs.select("part", "chunk", "block", F.lit(0).alias("side"))
+    two = pairs.where("chunk <> chunk2").select("part", F.col("chunk2").alias("chunk"), "block", F.lit(1).alias("side"))
+    return rows.join(one.union(two), ["part", "chunk"]).select("block", "side", "rep", "label")
+
+
+def _labels(shared: DataFrame, sizes: DataFrame, contents: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(rep, label) of all linked sets."""
+    entries, tried = _best_blocks(shared, sizes)
+    links = stored(_linked(entries, contents, threshold), "links")
+    labels = stored(components(links).toDF("rep", "label"), "labels")
+    open_ = stored(_still_open(shared, tried, labels), "open")
+    if open_.isEmpty():
+        return labels
+    more = stored(_linked(_all_chunks(open_, sizes, labels), contents, threshold), "links")
+    return labels if more.isEmpty() else components(links.union(more)).toDF("rep", "label")
 
 
 def jaccard_components(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -319,15 +361,9 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, in
     wanted = shared.select("rep").distinct()
     contents = stored(_contents(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi"), n), "contents")
     sizes = contents.groupBy("rep").agg(F.max("n").alias("n"))
-    edges = stored(_linked(_first_round(shared, sizes), contents, threshold), "links")
-    labels = components(edges)
-    more = stored(_linked(_second_round(shared, sizes, labels), contents, threshold), "links")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    labels = _labels(shared, sizes, contents, threshold)
     known = prints.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    known = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_id", F.coalesce("component", "rep").alias("component_id")
-    )
+    known = known.join(labels, "rep", "left").select("set_id", F.coalesce("label", "rep").alias("component_id"))
     return prints.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
