@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
+from quaestor.llm import (
+    chat,
+    exact_dedup,
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    quality_model,
+    quality_rules,
+    secrets,
+    warc,
+)
 from quaestor.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +53,33 @@ def op9_source_mixing(spark, d):
 @query
 def op2_ngram_jaccard_join(spark, d):
     return ngram_join.jaccard_components(documents(spark, d))
+
+
+@query
+def op1_language_id(spark, d):
+    return language_id.identify(documents(spark, d))
+
+
+@query
+def op6_secret_scan(spark, d):
+    return secrets.findings(documents(spark, d))
+
+
+@query
+def op7_quality_classifier(spark, d):
+    return quality_model.score(documents(spark, d))
+
+
+@query
+def op8_chat_formatting(spark, d):
+    fixed = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", fixed), (-7, 1, "assistant", fixed)], "conv_id long, turn long, role string, text string"
+    )
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(*own.columns).union(own)
+    return chat.digests(chat.formatted(chat.canonical(turns)))
+
+
+@query
+def op10_warc(spark, d):
+    return warc.round_trip(spark.read.parquet(f"{d}/pages.parquet"))
