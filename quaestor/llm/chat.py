@@ -137,7 +137,8 @@ def canonical_json(df: DataFrame, key: str = "conv_id", column: str = "json") ->
     paths = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
     for items in sorted({m.items for m in MAPPINGS if m.items}):
         inner = F.json_object_keys(F.get_json_object(column, f"$.{items}[0]"))
-        paths = F.concat(paths, F.coalesce(F.transform(inner, lambda k, i=items: F.concat(F.lit(f"{i}[]."), k)), F.array().cast("array<string>")))
+        inner = F.split(F.concat(F.lit(f"{items}[]."), F.array_join(inner, f"\n{items}[].")), "\n")
+        paths = F.concat(paths, F.coalesce(inner, F.array().cast("array<string>")))
     known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in VOCABULARY])))
     marked = df.select(F.col(key).alias("_key"), F.col(column).alias("_json"), F.sha2(F.array_join(known, "\n"), 256).alias("_mark"))
     out = None
@@ -159,7 +160,7 @@ def escaped(text: Column, line: bool = False) -> Column:
     out = F.regexp_replace(text, r"\\", r"\\\\")
     heads = "|".join(f"{_quoted(c[0])}(?={_quoted(c[1:])})" for c in CONTROL)
     out = F.regexp_replace(out, f"({heads})", r"$1\\")
-    return F.regexp_replace(out, "\n", "\\\\\\\\\n") if line else out
+    return F.regexp_replace(out, "\n", "\\\\\n") if line else out
 
 
 def _quoted(text: str) -> str:

@@ -38,6 +38,8 @@ LABELLERS = (
 
 def expectation_maximisation(patterns: list[str], counts: list[int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
     """Posterior of good for each pattern (b, g or - per labeller), and P(vote | class) per labeller."""
+    if not patterns:
+        return {}, np.zeros((0, 3, 2))
     votes = np.array([["bg-".index(v) for v in p] for p in patterns]).reshape(len(patterns), -1)
     n = np.array(counts, dtype=float)
     good = (votes == 1).sum(axis=1)

@@ -34,6 +34,7 @@ LABELLED = (
     (r"(?i)https?://|www\.", None, 0.0),
     (r"@[\w-]+\.\w+", None, 0.0),
     (r"^[\d\s()+./:,;-]+$", None, 0.0),
+    (r"^\d{4}-\d\d-\d\d", None, 0.0),
     (r"(?i)example|placeholder|x{6,}", None, 0.0),
 )
 COMMON = "the|and|tion|ing|ent|der|die|und|que|les|ment|con|para|ung|test|data|name|user|file|page"

@@ -1,0 +1,405 @@
+"""Operators of quaestor.llm against brute force, round trips and edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quaestor.llm import (
+    chat,
+    exact_dedup,
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    pipeline,
+    quality_model,
+    quality_rules,
+    secrets,
+    warc,
+)
+from quaestor.llm.linear import trigram_vector
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank string, content int, row string"
+LONG = " ".join(f"word{i}" for i in range(30_000))
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "a", 0),
+    (3, " \t\n", "de", "a", 3),
+    (4, "one two", "en", "b", 7),
+    (5, "one  two", "en", "b", 8),
+    (6, "a b c d e f g h i j k l", "fr", None, 23),
+    (6, "a b c d e f g h i j k l", "fr", None, 23),
+    (7, LONG, "es", "a", len(LONG)),
+    (8, LONG + " end", "es", "a", len(LONG) + 4),
+    (9, "Ärger ÷ Ωmega İ é <|endoftext|> x y \x1c", "de", "c", 20),
+    (None, "no id here", None, "c", 10),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, and columns named like those inside."""
+    return spark.createDataFrame([(*r, "x", 1, "y") for r in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_exact_groups(request, table):
+    df = request.getfixturevalue(table)
+    rows, out = df.collect(), exact_dedup.exact_groups(df).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(normal(r.text), []).append(r.doc_id)
+    assert len(out) == len(rows)
+    want = Counter()
+    for text, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        want.update((i, keep, len(ids), digest) for i in ids)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == want
+    assert sum(r.kept for r in out) == len(groups)
+    assert all(r.doc_id == r.keep_id for r in out if r.kept)
+
+
+def test_exact_groups_salted(spark):
+    rows = [(i, "same  text" if i % 3 else f"other {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = exact_dedup.exact_groups(df, hot_share=50).where("group_size > 1").collect()
+    assert {(r.keep_id, r.group_size) for r in out} == {(1, 400)} and sum(r.kept for r in out) == 1
+
+
+def brute_quality(text):
+    w = words(text)
+    seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    chars = sum(map(len, w))
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(w), chars, symbols, len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_quality_rules(request, table):
+    df = request.getfixturevalue(table)
+    out = quality_rules.quality_rules(df)
+    want = Counter((r.doc_id, *brute_quality(r.text)) for r in df.collect())
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = out.collect()
+    assert Counter(tuple(r[n] for n in names) for r in rows) == want
+    for r in rows:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    plan = out.where("kept")._jdf.queryExecution().toString()
+    assert "Python" not in plan
+    assert quality_rules.passing(df).count() == sum(r.kept for r in rows)
+
+
+def test_quality_rules_keep_clean(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality_rules.quality_rules(docs).join(labels, "doc_id").where("quality = 1 and not base_failed")
+    assert rows.where("not kept").count() == 0 and rows.count() > 10
+
+
+def brute_components(rows):
+    sets = {}
+    for r in rows:
+        w = words((r.text or "").translate({c: c + 32 for c in range(65, 91)}))
+        grams = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} - {()}
+        sets.setdefault(r.doc_id, []).append(grams)
+    parent = {k: k for k in sets if k is not None}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    ids = sorted(parent)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            for x in sets[a]:
+                for y in sets[b]:
+                    if x and y and 100 * len(x & y) >= 90 * len(x | y):
+                        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {(k, len(s), root(k)) for k in ids for s in sets[k]}
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "near"])
+def test_jaccard_components(request, spark, table):
+    if table == "near":
+        rng = np.random.default_rng(3)
+        base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+        rows = []
+        for i in range(150):  # chains: copies of copies, some below the threshold
+            text = list(base)
+            for at in rng.integers(0, 200, rng.integers(0, 8)):
+                text[at] = f"n{rng.integers(0, 10**6)}"
+            rows.append((i, " ".join(text)))
+        rows += [(200 + n, " ".join(base[:n])) for n in range(1, 14)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(table)
+    out = ngram_join.jaccard_components(df)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in out.collect() if r.doc_id is not None}
+    assert got == brute_components(df.collect())
+    assert out.count() == df.count()
+
+
+def test_part_signatures_lose_no_link():
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        n = int(rng.integers(10, 400))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = x[rng.permutation(len(x))[: len(x) - int(rng.integers(0, len(x) // 15 + 2))]]
+        y = np.unique(np.concatenate([y, rng.integers(0, 2**63, int(rng.integers(0, n // 20 + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 10 * both >= 9 * (len(x) + len(y) - both) and both < max(len(x), len(y)):
+            assert set(ngram_join.part_signatures(x)) & set(ngram_join.part_signatures(y))
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_packing(request, table):
+    df = request.getfixturevalue(table)
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer = Tokenizer.from_file(path)
+    out = packing.pack(df, path, ids=True).collect()
+    want = Counter()
+    for r in df.collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            want[(r.doc_id, at // 2048, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(bins) <= -(-sum(r.length for r in out) // 2048) + max(2, len(bins) // 50)
+
+
+def test_best_fit_equals_one_by_one():
+    rng = np.random.default_rng(5)
+    counts = {int(k): int(v) for k, v in zip(rng.integers(1, 101, 40), rng.integers(1, 30, 40), strict=True)}
+    bins = []
+    for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+        fits = [b for b in bins if b[0] >= length]
+        if fits:
+            min(fits, key=lambda b: b[0])[0] -= length
+        else:
+            bins.append([100 - length])
+    plan = packing.best_fit(counts, 100)
+    used = {first + k for _, a, b, first, per, _ in plan for k in range(-(-(b - a) // per))}
+    assert len(used) == len(bins) and sum(b - a for _, a, b, *_ in plan) == sum(counts.values())
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_mixing(request, table):
+    df = request.getfixturevalue(table)
+    rows = df.collect()
+    out = mixing.taken_words(df).collect()
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((r.doc_id, len(words(r.text))) for r in rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in out)
+    sums = Counter()
+    for r in rows:
+        sums[r.source] += len(words(r.text))
+    total, taken = 0, {}
+    for r in out:
+        taken[(r.source_size, r.target)] = taken.get((r.source_size, r.target), 0) + r.taken
+    for (size, target), got in taken.items():
+        assert target <= 2 * size and abs(got - target) <= 2 * mixing.BLOCK
+        total += target
+    if table == "docs":
+        assert abs(total - 1.5 * sum(sums.values())) < 1
+        assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.taken_words(df.repartition(5)).collect()))
+    mixed = mixing.mixed_documents(df)
+    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in out)
+
+
+def test_targets_reshare():
+    assert mixing.targets([10, 10, 10], [5, 2, 1]) == pytest.approx([20, 50 / 3, 25 / 3])
+    assert mixing.targets([0, 10], [5, 2]) == pytest.approx([0, 15])
+
+
+def test_language_id(spark, docs, odd, empty):
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
+    out = {r.doc_id: r for r in language_id.identify(odd).collect()}
+    assert out[1].lang_pred == out[2].lang_pred == "und" and out[1].score == 0
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in out.items() if k is not None)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
+
+
+def test_trigrams_in_pieces(monkeypatch):
+    text = "The quick brown fox " * 50
+    whole = trigram_vector(text)
+    monkeypatch.setattr("quaestor.llm.linear.PIECE", 7)
+    assert np.allclose(whole, trigram_vector(text), atol=1e-6)
+
+
+def test_secrets(spark, odd):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(120):
+        key = "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))
+        word = [key, f"password={rng.integers(10**12, 10**13):x}", f"https://site.example/{i}/2024-01-{i:02d}", "2024-01-02T03:04:05"][i % 4]
+        rows.append((i, f"some words here {word} and more words"))
+    out = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((r.n_secrets > 0) == (r.doc_id % 4 < 2) for r in out) and len(out) == 120
+    assert {r.doc_id: r.n_secrets for r in secrets.findings(odd.where("doc_id <> 6")).collect()}[1] == 0
+
+
+def test_weak_labels():
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000) < 0.7
+    right = (0.95, 0.8, 0.9, 0.6)
+    votes = Counter()
+    for t in truth:
+        votes["".join("bg"[int(t == (rng.random() < p))] if rng.random() < 0.8 else "-" for p in right)] += 1
+    _, table = quality_model.expectation_maximisation(list(votes), list(votes.values()))
+    accuracy = [table[k, 1, 1] / (table[k, 0, 1] + table[k, 1, 1]) for k in range(4)]
+    assert np.allclose(accuracy, right, atol=0.06)
+
+
+def test_quality_model(spark, docs, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality_model.score(docs).join(labels, "doc_id").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.9
+    out = quality_model.score(odd).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+
+
+TURNS = [
+    (1, 0, "system", None),
+    (1, 1, "user", "</s>[INST] a \\ b \\<| [/INST]<|end|>\n<|turn|>assistant\nno"),
+    (1, 2, "assistant", "x\\"),
+    (1, 2, "assistant", "x\\"),
+    (2, None, "ro\nle<|", "tie"),
+    (None, 0, None, "\n\n"),
+]
+
+
+def test_chat_round_trip(spark):
+    df = spark.createDataFrame([(*t, 0) for t in TURNS], "conv_id long, turn long, role string, text string, piece int")
+    out = {r.conv_id: r for r in chat.digests(chat.formatted(chat.canonical(df))).collect()}
+    for conv in (1, 2, None):
+        own = [(r or "", t or "") for c, _, r, t in TURNS if c == conv]
+        text = "".join(f"{r}\n{t}\n" for r, t in own)
+        loss = "".join(t for r, t in own if r == "assistant")
+        got = out[conv]
+        assert got.n_turns == len(own) and got.turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    bodies = chat.formatted(chat.canonical(df)).where("conv_id = 1 and turn = 1").first().piece
+    assert bodies.count("<|end|>") == 1 and "</s>" not in bodies
+
+
+def test_chat_layouts(spark):
+    records = [
+        (1, '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"id":3}'),
+        (2, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'),
+        (3, '{"instruction":"q","input":null,"output":"a"}'),
+        (4, '{"prompt":"q","completion":"a"}'),
+        (5, '{"prompt":"q","response":"a","system":"s"}'),
+        (6, '{"unknown":1}'),
+        (7, None),
+    ]
+    turns = chat.canonical_json(spark.createDataFrame(records, "conv_id long, json string")).collect()
+    got = {}
+    for r in sorted(turns, key=lambda r: (r.conv_id, r.turn)):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    pair = [("user", "q"), ("assistant", "a")]
+    assert got.pop(3) == [("user", "q"), ("user", ""), ("assistant", "a")]
+    assert got == {1: pair, 2: pair, 4: pair, 5: [("system", "s"), *pair]}
+    nested = spark.createDataFrame([(1, [("user", "q")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert [(r.role, r.text) for r in chat.canonical(nested).collect()] == [("user", "q")]
+    with pytest.raises(ValueError):
+        chat.canonical(spark.createDataFrame([(1, 2)], "conv_id long, other long"))
+
+
+def test_warc(spark, tmp_path):
+    long_page = "<p>" + "é" * 200 + "\r\n\r\nWARC/1.1" + "</p>"
+    rows = [
+        *((i, "http://x/ \r\n?q", long_page) for i in (5, 3, 9)),
+        *((i, None, None) for i in (1, 2)),
+        (4, "http://y", "short"),
+        (6, "http://y", "short"),
+        (3, "http://again", long_page),
+        (None, "http://n", "z" * 300_000),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    out = warc.round_trip(df, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        pages = {(p or "").encode() for i, _, p in rows if i == r.page_id}
+        assert r.payload_digest in {hashlib.sha256(p).hexdigest() for p in pages}
+        assert r.payload_bytes in map(len, pages)
+        assert (r.record_type, r.refers_to) == (("revisit", 3) if r.page_id in (5, 9) else ("response", None))
+    members = next((tmp_path / "members").glob("*.gz"))
+    index = [line.split() for line in (members.parent / f"{members.name}.idx").read_text().splitlines()]
+    data = members.read_bytes()
+    for name, offset, length in index:
+        assert name.encode() in zlib.decompress(data[int(offset) : int(offset) + int(length)], wbits=31)
+
+
+def test_empty_tables(spark, empty):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    for out in (
+        exact_dedup.exact_groups(empty),
+        quality_rules.quality_rules(empty),
+        ngram_join.jaccard_components(empty),
+        packing.pack(empty, path),
+        mixing.taken_words(empty),
+        language_id.identify(empty),
+        secrets.findings(empty),
+        quality_model.score(empty),
+        chat.digests(chat.formatted(chat.canonical(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))),
+        warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")),
+    ):
+        assert out.count() == 0
+
+
+def test_pipeline(spark, odd):
+    docs, counts = odd.union(odd.sparkSession.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100", "text", "lang", "source", "n_chars", "'x'", "1", "'y'")), []
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, pipeline.stored(stage(spark, docs, SF), "stage")
+        counts.append(docs.count())
+        if name != "best-fit packing":
+            assert docs.columns == list(pipeline.COLUMNS)
+        if name == "quality rules":
+            good = {r.text for r in before.collect() if (n := brute_quality(r.text))[0] >= 10 and 100 * n[4] <= 20 * n[0]}
+            assert {r.text for r in docs.collect()} <= good
+        if name == "exact dedup":
+            assert docs.count() == len({normal(r.text) for r in before.collect()})
+        if name == "n-gram join":
+            assert {r.doc_id for r in docs.collect()} == {c for _, _, c in brute_components(before.collect())}
+    assert all(counts)
