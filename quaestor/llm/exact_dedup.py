@@ -4,8 +4,11 @@ Sampled splitters range-partition the normalised bytes, an external sort places
 each other, and a window over the sorted rows compares neighbouring texts in full and finds the
 smallest identifier of each run.
 
-A text with more than 1 in ``HOT_SHARE`` of all rows is hot. Its rows carry a salt behind the text in
-the sort key, so the splitters can cut between them; the run of each salt is one row for the final
+The splitters cut between the first ``PREFIX`` bytes, then a hash of the text: equal texts are next to each
+other in that order, and texts with one long beginning are still dealt over many tasks.
+
+A text with more than 1 in ``HOT_SHARE`` of all rows is hot. Its rows carry a salt behind it in
+the key, so the splitters can cut between them; the run of each salt is one row for the final
 minimum. At most ``HOT_SHARE`` texts can be hot, which bounds the two broadcast tables.
 
 Null text counts as empty. Rows with a null ``doc_id`` come last; ``keep_id`` is null only if no row of
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import SPACE, stored
 
 HOT_SHARE = 20_000
+#: Bytes of the text in the key of the splitters, so that their sample on the driver is small.
+PREFIX = 64
 
 
 def normalised(text: Column) -> Column:
@@ -42,18 +47,20 @@ def exact_groups(docs: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
     keyed = rows.join(F.broadcast(hot), "fingerprint", "left").select(
         "doc_id",
         "content",
+        F.substring("content", 1, PREFIX).alias("prefix"),
+        "fingerprint",
         F.col("salts").isNotNull().alias("hot"),
         F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).alias("salt"),
     )
-    ranged = keyed.repartitionByRange("content", "salt").sortWithinPartitions(
-        "content", "salt", F.col("doc_id").asc_nulls_last()
-    )
-    run = Window.partitionBy("content", "salt")
+    key = ["prefix", "fingerprint", "salt"]
+    last = F.col("doc_id").asc_nulls_last()
+    ranged = keyed.repartitionByRange(*key).sortWithinPartitions(*key, "content", last)
+    run = Window.partitionBy(*key, "content")
     runs = ranged.select(
         "doc_id",
         "hot",
         F.sha2("content", 256).alias("text_sha256"),
-        F.row_number().over(run.orderBy(F.col("doc_id").asc_nulls_last())).alias("place"),
+        F.row_number().over(run.orderBy(last)).alias("place"),
         F.min("doc_id").over(run).alias("run_min"),
         F.count(F.lit(1)).over(run).alias("run_rows"),
     )
