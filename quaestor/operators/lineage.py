@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.session import cut_lineage
 
-MAX_DEPTH = 1_000
-
 
 def _node(df: DataFrame, node_id: str, node_type: str, name: str, operation: str, **extra) -> DataFrame:
     """One row about ``df``; the row count is an aggregation, nothing is collected."""
@@ -87,29 +87,29 @@ def all_parents(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("node"), F.explode("parent_nodes").alias("parent"))
 
 
-def lineage_chain(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def lineage_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start, node, steps)``: each start and its ancestors, ``steps`` edges away.
 
     ``edges`` holds one parent per node. Order a chain by descending ``steps`` to read it from
     its source. All starts advance together, one join per level; a node seen before on the same
     chain ends it, so cycles are safe.
     """
-    return _walk(edges.select(F.col("node").alias("_from"), F.col("parent").alias("_to")), starts, max_depth)
+    return _walk(edges.select(F.col("node").alias("_from"), F.col("parent").alias("_to")), starts)
 
 
-def lineage_impact(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def lineage_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start, node, steps)``: everything downstream of each start, once, by shortest path."""
     downstream = edges.select(F.col("parent").alias("_from"), F.col("node").alias("_to"))
-    return _walk(downstream, starts, max_depth).filter("steps > 0")
+    return _walk(downstream, starts).filter("steps > 0")
 
 
-def _walk(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+def _walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Breadth-first from all starts; each level is checkpointed to keep plans short."""
     frontier = cut_lineage(
         starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("steps")).distinct()
     )
     reached = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = (
             frontier.join(edges, frontier.node == edges._from)
             .select("start", F.col("_to").alias("node"), F.lit(depth).alias("steps"))
@@ -119,7 +119,6 @@ def _walk(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError(f"lineage graph deeper than {max_depth} levels")
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.session import cut_lineage
+
 BUCKETS = 2_048
-# Up to this many rows the built-in exact percentile (one value -> count map) is used.
-BUILTIN_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -40,32 +40,33 @@ def exact_percentiles(
     column: str,
     fractions: tuple[float, ...] = (0.25, 0.5, 0.75),
     spread: Spread | None = None,
-    builtin_rows: int = BUILTIN_ROWS,
 ) -> list[float | None]:
     """Percentiles with linear interpolation between the two neighbouring ranks.
 
-    The built-in ``percentile`` keeps every distinct value in one task, so it is used only where
-    the count shows that there are few. Otherwise the wanted ranks are narrowed down by
-    counting rows per bucket of the value range: one aggregation per level for all ranks
-    together, each level splitting a range into ``BUCKETS`` parts.
+    The built-in ``percentile`` keeps every distinct value in one task. Here the wanted ranks are
+    narrowed down by counting rows per bucket of the value range: one aggregation per level for
+    all ranks together, each level splitting a range into ``BUCKETS`` parts. The column is stored
+    once before. Infinite values and NaN (the largest) are ranked like any other.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
     spread = spread or Spread.of(values.agg(*Spread.columns(F.col("v"))).first())
     if spread.rows == 0:
         return [None] * len(fractions)
-    if spread.rows <= builtin_rows:
-        return list(values.agg(F.percentile("v", list(fractions))).first()[0])
-
+    values = cut_lineage(values)
     positions = [q * (spread.rows - 1) for q in fractions]
     ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
     at_rank = _values_at_ranks(values, ranks, spread)
     out = []
     for p in positions:
         low, high = at_rank[math.floor(p)], at_rank[math.ceil(p)]
-        out.append(low + (high - low) * (p - math.floor(p)))
+        out.append(low if _same(low, high) else low + (high - low) * (p - math.floor(p)))
     return out
 
 
+def _same(a: float, b: float) -> bool:
+    return a == b or (math.isnan(a) and math.isnan(b))
+
+
 @dataclass(frozen=True)
 class _Range:
     """An open range of values: rows inside, rows below it, and the ranks that fall into it."""
@@ -79,10 +80,12 @@ class _Range:
     def bucket(self) -> Column:
         """Number of the part a value falls into. Few rows, or a range finer than doubles can
         split, go by the value itself."""
-        width = (self.high - self.low) / BUCKETS
+        if not (math.isfinite(self.low) and math.isfinite(self.high)):
+            return F.when(F.isnan("v") | F.abs("v").eqNullSafe(math.inf), F.col("v")).otherwise(0.0)
+        width = self.high / BUCKETS - self.low / BUCKETS
         if self.rows <= BUCKETS or self.low + width == self.low:
             return F.col("v")
-        return F.floor((F.col("v") - self.low) / width).cast("double")
+        return F.floor(F.col("v") / width - self.low / width).cast("double")
 
 
 def _values_at_ranks(values: DataFrame, ranks: list[int], spread: Spread) -> dict[int, float]:
@@ -107,7 +110,7 @@ def _values_at_ranks(values: DataFrame, ranks: list[int], spread: Spread) -> dic
         for part in counted.collect():
             i = part.which
             wanted = tuple(r for r in ranges[i].ranks if below[i] <= r < below[i] + part.rows)
-            if wanted and part.low == part.high:
+            if wanted and _same(part.low, part.high):
                 found.update({r: part.low for r in wanted})
             elif wanted:
                 following.append(_Range(part.low, part.high, part.rows, below[i], wanted))

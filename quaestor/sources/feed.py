@@ -16,6 +16,11 @@ def feed_schema(columns=C.REQUIRED_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def csv_options(multi_line: bool = False) -> dict:
+    """How batch and stream read CSV: the header is checked against the columns, quotes are doubled."""
+    return {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line}
+
+
 def read_feed_csv(
     spark: SparkSession, path: str, columns=C.REQUIRED_COLUMNS, multi_line: bool = False
 ) -> DataFrame:
@@ -28,8 +33,7 @@ def read_feed_csv(
     """
     if not fs.exists(spark, path):
         raise FileNotFoundError(path)
-    options = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line}
-    df = spark.read.options(**options).csv(path)
+    df = spark.read.options(**csv_options(multi_line)).csv(path)
     check_columns(df, columns)
     return df.withColumns({c: na_to_null(F.col(c)) for c in columns})
 

@@ -12,14 +12,18 @@ from quaestor.operators.balance import daily_balance
 from quaestor.operators.transform import clean_transactions, ledger_of
 from quaestor.params import FeedParams, SkewParams, TrustParams
 from quaestor.sources import fs
-from quaestor.sources.feed import feed_schema
+from quaestor.sources.feed import csv_options, feed_schema
 
 
 def stream_feed(
     spark: SparkSession, folder: str, params: FeedParams = FeedParams(), max_files: int | None = None
 ) -> DataFrame:
-    """New CSV files of a folder as a stream of text columns; NA words become null."""
-    reader = spark.readStream.schema(feed_schema(params.required_columns)).option("header", True)
+    """New CSV files of a folder as a stream of text columns; NA words become null.
+
+    Options are those of the batch reader. A stream has one schema, so a file whose header has other
+    columns or another order is an error, never read by position.
+    """
+    reader = spark.readStream.schema(feed_schema(params.required_columns)).options(**csv_options())
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.csv(folder)

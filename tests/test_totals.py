@@ -141,5 +141,13 @@ def test_narrowed_percentiles_are_exact(spark, shape):
     }[shape]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     fractions = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
-    built_in = exact_percentiles(df, "x", fractions)
-    assert exact_percentiles(df, "x", fractions, builtin_rows=0) == pytest.approx(built_in, rel=1e-15)
+    built_in = df.agg(F.percentile("x", list(fractions))).first()[0]
+    assert exact_percentiles(df, "x", fractions) == pytest.approx(built_in, rel=1e-15)
+
+
+def test_percentiles_of_values_without_end(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, *[float(i) for i in range(5000)], 1e308, -1e308, inf, inf, nan]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    low, middle, high, top = exact_percentiles(df, "x", (0.0, 0.5, (len(values) - 2) / (len(values) - 1), 1.0))
+    assert (low, middle, high) == (-inf, sorted(values[:-1])[len(values) // 2 - 1] + 0.5, inf) and top != top
