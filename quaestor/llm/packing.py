@@ -81,7 +81,7 @@ class WordTokenizer:
         except KeyError:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self._learn(set(words) - self.known.keys())
+            self._learn({w for w in words if w not in self.known})
             return b"".join(map(self.known.__getitem__, words))
 
 
