@@ -146,7 +146,8 @@ def mix(
         (F.greatest(F.col("block") * step, "start") - F.col("start")).alias("word_from"),
         (F.least((F.col("block") + 1) * step, F.col("start") + F.col("size")) - F.col("start")).alias("word_to"),
     )
-    taken = parts.join(slots, ["source_no", "block"]).select("shard", "slot", "pass", "row", "word_from", "word_to")
+    # Slots are exploded from a few plan rows, from whose size the adaptive plan would conclude to broadcast them.
+    taken = parts.join(slots.hint("merge"), ["source_no", "block"]).select("shard", "slot", "pass", "row", "word_from", "word_to")
     return given.select("doc_id", "row", "size", "source_size", "target"), taken
 
 
