@@ -17,6 +17,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from quaestor.llm.common import buckets_for, running_offsets, stored
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of words a Python worker remembers; a full memory starts anew.
+#: Words a Python worker remembers before it forgets those it has not met since the last time.
 REMEMBERED = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,6 +47,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             last[i] = token.endswith("</w>")
@@ -63,7 +65,8 @@ class WordTokenizer:
         todo = list(words)
         for at in range(0, len(todo), 1000):
             part = todo[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 raise RuntimeError("the tokenizer does not mark the end of each word")
@@ -80,16 +83,24 @@ class WordTokenizer:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self._learn({w for w in words if w not in self.known})
+                self.older, self.known = self.known, {}
+            new = {w for w in words if w not in self.known}
+            self.known.update((w, self.older[w]) for w in new if w in self.older)
+            self._learn({w for w in new if w not in self.known})
             return b"".join(map(self.known.__getitem__, words))
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker: later tasks find the words that earlier ones met."""
+    return WordTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, and with ``ids`` the ids themselves."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokenizer(tokenizer)
+        tokens = word_tokenizer(tokenizer)
         size = 4 * capacity
         for batch in batches:
             rows = []
