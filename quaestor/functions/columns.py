@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from quaestor import constants as C
 
 MONEY = "decimal(28,10)"
+# Amounts of this size or more are unreadable; smaller ones fit MONEY, and 1e11 of them its sum.
+MAX_AMOUNT = 1e17
 INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?)$"
 
@@ -37,6 +39,12 @@ def lenient_double(c: Column, dtype: T.DataType) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def amount_number(c: Column, dtype: T.DataType) -> Column:
+    """An amount as a double; null where it is not a number, not finite, or does not fit a sum."""
+    number = lenient_double(c, dtype)
+    return F.when(F.abs(number) < MAX_AMOUNT, number)
+
+
 def lenient_timestamp(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
     """A zone-free timestamp per value (ISO date or timestamp unless ``fmt``), else null."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -56,8 +64,8 @@ def success_or_failed(status: Column, success: Iterable[str] | None) -> Column:
 
 
 def signed_amount(amount: Column, dtype: T.DataType, txn_type: Column, refunds: Iterable[str]) -> Column:
-    """The amount as a double: 0.0 where missing or unreadable, refunds negative."""
-    value = F.coalesce(F.nanvl(lenient_double(amount, dtype), F.lit(0.0)), F.lit(0.0))
+    """The amount as a double: 0.0 where missing or unreadable (counted in validation), refunds negative."""
+    value = F.coalesce(amount_number(amount, dtype), F.lit(0.0))
     return F.when(upper_in(txn_type, refunds), -F.abs(value)).otherwise(value)
 
 

@@ -12,6 +12,8 @@ from quaestor.functions.columns import exact_sum, half_even
 from quaestor.operators.numbering import number_in_order
 
 KEY = ("account_id", "alert_date", "rule_id")
+# About how many ids one row of an alert lists.
+PART_IDS = 10_000
 
 
 def triggered(scored: DataFrame) -> DataFrame:
@@ -68,51 +70,56 @@ def alert_totals(hits: DataFrame) -> DataFrame:
     )
 
 
-def alert_transactions(hits: DataFrame) -> DataFrame:
-    """The complete list in rows: every transaction of every alert, of any size."""
-    return hits.select(*KEY, "txn_id")
+def alert_transactions(hits: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+    """The complete list in rows: every transaction of every alert; with :func:`numbered_alerts` also its id."""
+    rows = hits.select(*KEY, "txn_id")
+    return rows if numbered is None else rows.join(numbered.select(*KEY, "alert_id"), list(KEY))
 
 
-def deduplicated_alerts(hits: DataFrame, inline_ids_limit: int = 100_000) -> DataFrame:
-    """Alerts with ``triggering_txn_ids`` as a sorted array.
+def id_parts(hits: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
+    """The ids of each alert in parts of about ``part_ids``: ``ids_part`` (from 0), ``triggering_txn_ids``.
 
-    An alert over more than ``inline_ids_limit`` transactions does not fit in one row: its array
-    is null and its ids, like those of all alerts, are in :func:`alert_transactions`. Such
-    alerts are set aside before any list is collected; the join that does so is Spark's to
-    choose, by their measured size.
+    A hash of the id names the part, so no task ever holds all ids of a large alert. An alert of up to
+    ``part_ids`` transactions has one part.
     """
-    totals = alert_totals(hits)
-    oversized = (
-        hits.groupBy(*KEY)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > inline_ids_limit)
-        .select(*KEY)
-    )
-    listed = (
+    parts = F.ceil(F.count(F.lit(1)) / part_ids).alias("_parts")
+    digest = F.conv(F.substring(F.md5("txn_id"), 1, 15), 16, 10).cast("bigint")
+    part = F.coalesce(F.pmod(digest, F.col("_parts")), F.lit(0)).cast("int")
+    return (
         alert_transactions(hits)
-        .join(oversized, list(KEY), "left_anti")
-        .groupBy(*KEY)
+        .join(hits.groupBy(*KEY).agg(parts), list(KEY))
+        .groupBy(*KEY, part.alias("ids_part"))
         .agg(F.sort_array(F.collect_list("txn_id")).alias("triggering_txn_ids"))
     )
-    return totals.join(listed, list(KEY), "left")
 
 
-def generate_alerts(
-    hits: DataFrame, run_time: datetime, inline_ids_limit: int = 100_000
-) -> DataFrame:
-    """The twelve alert columns, numbered by account, date and rule within the run.
+def deduplicated_alerts(hits: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
+    """Alerts with their ids as a sorted array: one row per alert and part of its ids."""
+    return alert_totals(hits).join(id_parts(hits, part_ids), list(KEY), "left")
+
+
+def numbered_alerts(hits: DataFrame, run_time: datetime) -> DataFrame:
+    """One row per alert with ``alert_id``, numbered by account, date and rule within the run."""
+    stamp = run_time.strftime("%Y%m%d%H%M%S")
+    return number_in_order(alert_totals(hits), KEY, "_number").select(
+        "*",
+        F.format_string(f"AML-{stamp}-%06d", "_number").alias("alert_id"),
+        F.lit(run_time.isoformat()).alias("alert_timestamp"),
+    )
+
+
+def with_ids(numbered: DataFrame, hits: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
+    """The twelve alert columns and ``ids_part``: a row per alert and part of its ids, most alerts have one."""
+    return numbered.join(id_parts(hits, part_ids), list(KEY), "left").select(*C.AML_ALERT_COLUMNS, "ids_part")
+
+
+def generate_alerts(hits: DataFrame, run_time: datetime, part_ids: int = PART_IDS) -> DataFrame:
+    """:func:`with_ids` of the alerts numbered at ``run_time``.
 
     ``hits`` is read several times: pass :func:`triggered` of a stored scored table, or
     checkpoint it (``cut_lineage``) so that the windows behind it run once.
     """
-    alerts = number_in_order(deduplicated_alerts(hits, inline_ids_limit), KEY, "_number")
-    stamp = run_time.strftime("%Y%m%d%H%M%S")
-    return alerts.withColumns(
-        {
-            "alert_id": F.format_string(f"AML-{stamp}-%06d", "_number"),
-            "alert_timestamp": F.lit(run_time.isoformat()),
-        }
-    ).select(*C.AML_ALERT_COLUMNS)
+    return with_ids(numbered_alerts(hits, run_time), hits, part_ids)
 
 
 def alerts_by_severity(alerts: DataFrame) -> DataFrame:

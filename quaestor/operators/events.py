@@ -101,8 +101,8 @@ def contract_events(violations: DataFrame, contract: str, at: datetime) -> DataF
 def mismatch_events(mismatches: DataFrame, at: datetime) -> DataFrame:
     """One event for all reconciliation mismatches; none without a mismatch."""
     count = mismatches.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    message = F.format_string("%d dates have reconciliation mismatches exceeding tolerance", "n")
-    return preset(count, "quality", F.lit("Reconciliation Mismatch"), message, _time(at), F.lit("error"))
+    message = F.format_string("totals differ beyond the tolerance on %d dates", "n")
+    return preset(count, "quality", F.lit("Totals do not reconcile"), message, _time(at), F.lit("error"))
 
 
 def sla_events(metrics: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def sla_events(metrics: DataFrame) -> DataFrame:
 
 
 def drift_events(drift: DataFrame, at: datetime) -> DataFrame:
-    title = F.concat(F.lit("Schema Drift in "), "source", F.lit(": "), "event_type")
+    title = F.concat(F.lit("Schema of "), "source", F.lit(": "), "event_type")
     return preset(drift, "schema", title, F.col("description"), _time(at), F.col("severity"))
 
 

@@ -3,11 +3,12 @@
 The rule is greedy: whether an event is sent depends on the last one that was sent, which a
 comparison with the previous row cannot tell. Rows are shuffled and sorted by Spark; a small
 fold walks them in order and remembers one timestamp per key. Keys too large for one task are
-cut into stretches of time that are replayed in parallel.
+cut, by number of rows, into stretches of time that are replayed in parallel.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import micros
-from quaestor.operators.skew import HotKeys, find_hot_keys, gather
+from quaestor.operators.skew import find_hot_keys, gather
 from quaestor.params import SkewParams
+from quaestor.session import cut_lineage
 
 ALWAYS = -(2**63)
-# The shortest stretch of a hot key that one task replays, in throttle intervals.
-MIN_INTERVALS = 12
 
 
 def throttle(
@@ -52,7 +52,7 @@ def throttle(
     if hot is None:
         return _replay(_whole(keyed), tie, wait)
     cold_rows, hot_rows = hot.split(keyed)
-    stretches = _stretches(hot_rows, wait, _intervals(hot, hot_rows, skew, wait))
+    stretches = _stretches(sliced(hot_rows, tie, max(2, math.ceil(hot.rows / skew.slice_rows))), wait)
     return _replay(_whole(cold_rows), tie, wait).unionByName(_replay(stretches, tie, wait))
 
 
@@ -61,10 +61,15 @@ def _whole(keyed: DataFrame) -> DataFrame:
     return keyed.withColumns({"_group": F.lit(0).cast("bigint"), "_entry": F.lit(ALWAYS).cast("bigint")})
 
 
-def _intervals(hot: HotKeys, hot_rows: DataFrame, skew: SkewParams, wait: int) -> int:
-    """How many throttle intervals to a stretch, for about ``slice_rows`` rows in each."""
-    first, last = hot_rows.agg(F.min("_at"), F.max("_at")).first()
-    return max(MIN_INTERVALS, (last - first) * skew.slice_rows // (hot.rows * wait))
+def sliced(hot_rows: DataFrame, tie: str, slices: int) -> DataFrame:
+    """Rows of hot keys, cut by number of rows into runs of time (``_group``).
+
+    Of rows at one time only the first by ``tie`` can be sent, so the others go before the cut. Range
+    bounds are sampled, so the cut is checkpointed: every later read must see the same one.
+    """
+    first = hot_rows.groupBy("_key", "_at").agg(F.min_by(F.struct("*"), F.struct(tie)).alias("row"))
+    cut = first.select("row.*").repartitionByRange(slices, "_key", "_at")
+    return cut_lineage(cut.withColumn("_group", F.spark_partition_id().cast("bigint")))
 
 
 def _replay(grouped: DataFrame, tie: str, wait: int) -> DataFrame:
@@ -74,38 +79,40 @@ def _replay(grouped: DataFrame, tie: str, wait: int) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, allowed = None, ALWAYS
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_key", "_group", "_at", "_entry")]
-            sent = []
-            for key, group, at, entry in zip(*columns):
-                if (key, group) != current:
-                    current, allowed = (key, group), entry
-                sent.append(at >= allowed)
-                if at >= allowed:
-                    allowed = at + wait
+            keys = batch.column("_key").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            groups, times, entries = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_group", "_at", "_entry"))
+            sent = np.zeros(batch.num_rows, dtype=bool)
+            turns = np.flatnonzero((keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])) + 1
+            bounds = [0, *turns.tolist(), batch.num_rows]
+            for at, end in zip(bounds, bounds[1:]) if batch.num_rows else ():
+                run = (batch.column("_key")[at].as_py(), int(groups[at]))
+                if run != current:
+                    current, allowed = run, int(entries[at])
+                # From one sent event to the next, over all that are too close.
+                at += int(np.searchsorted(times[at:end], allowed))
+                while at < end:
+                    sent[at], allowed = True, int(times[at]) + wait
+                    at += int(np.searchsorted(times[at:end], allowed))
             yield batch.filter(pa.array(sent, pa.bool_()))
 
     kept = ordered.mapInArrow(fold, ordered.schema)
     return kept.drop("_key", "_group", "_at", "_entry")
 
 
-def _stretches(hot_rows: DataFrame, wait: int, intervals: int) -> DataFrame:
-    """Rows of hot keys with their stretch as ``_group`` and the time from which it may send.
+def _stretches(grouped: DataFrame, wait: int) -> DataFrame:
+    """Adds to each stretch (``_group`` of a key, cut anywhere in time) the time from which it may send.
 
     What an earlier stretch does to a later one is a single time: from when on it may send, and
-    that lies within the first interval of the later stretch or before. So each stretch first
+    that lies less than one interval after the first event of the later stretch. So each stretch first
     works out, in parallel, at which time it would hand over for every possible entry (equal
     results merged). Those few rows per stretch are then chained per key, which gives the actual
     entry of each stretch.
     """
-    stretch = wait * intervals
-    grouped = hot_rows.withColumn("_group", F.floor(F.col("_at") / F.lit(stretch)).cast("bigint"))
-
     def handovers(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.unique(pdf["_at"].to_numpy(np.int64))
-        start = int(pdf["_group"].iloc[0]) * stretch
         n = len(times)
         following = np.append(np.searchsorted(times, times + wait), n)
-        firsts = np.arange(min(n, int(np.searchsorted(times, start + wait)) + 1))
+        firsts = np.arange(min(n, int(np.searchsorted(times, times[0] + wait)) + 1))
         last = firsts.copy()
         while True:
             step = following[last]

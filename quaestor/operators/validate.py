@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor import constants as C
-from quaestor.functions.columns import lenient_double, lenient_timestamp
+from quaestor.functions.columns import amount_number, lenient_timestamp
 from quaestor.params import FeedParams
 
 # How many offending values an error message quotes; the operators below return all of them.
@@ -81,13 +81,13 @@ def _date_counts(df: DataFrame, params: FeedParams):
 
 
 def unreadable_amounts(df: DataFrame) -> DataFrame:
-    """One row: how many amounts are present but not a number (the strict reading)."""
+    """One row: how many amounts are present but no finite number in range (the strict reading)."""
     return df.agg(_amount_count(df))
 
 
 def _amount_count(df: DataFrame):
     amount = F.col("amount")
-    number = lenient_double(amount, df.schema["amount"].dataType)
+    number = amount_number(amount, df.schema["amount"].dataType)
     return F.count_if(amount.isNotNull() & number.isNull()).alias("amount_unreadable")
 
 

@@ -80,13 +80,11 @@ class AmlParams:
     low: float = 25
     medium: float = 50
     high: float = 75
-    inline_ids_limit: int = 100_000
     skew: SkewParams | None = field(default_factory=SkewParams)
 
     def __post_init__(self):
         _require(self.velocity_frame in ("rows", "days"), "velocity_frame is 'rows' or 'days'")
         _require(self.ctr_threshold > 0, "ctr_threshold must be > 0")
-        _require(self.inline_ids_limit >= 1, "inline_ids_limit must be >= 1")
 
 
 @dataclass(frozen=True)

@@ -20,6 +20,7 @@ from quaestor.operators.transform import clean_transactions, ledger_of
 from quaestor.operators.validate import null_counts, validate_feed
 from quaestor.params import AmlParams, JobParams
 from quaestor.plans.stages import StageStore
+from quaestor.session import cut_lineage
 from quaestor.sources import fs, sinks
 from quaestor.sources.feed import read_feed_csv, read_ledger
 
@@ -108,7 +109,7 @@ def run_ledger_job(
     try:
         _ledger_steps(spark, feed_path, paths, params, resume, trust, store)
     except Exception as error:
-        trust.emit(events.run_event(spark, "Ledger Run Failed", str(error)[:1000], _now(), failed=True))
+        trust.emit(events.run_event(spark, "Ledger Run Failed", str(error), _now(), failed=True))
         raise
     store.clear()
     return paths
@@ -187,7 +188,7 @@ def run_aml_job(
     """Ledger -> scored transactions and alerts under ``out``; returns paths and metrics.
 
     Alerts are derived from the written scored table, so the windows run once. The table
-    ``aml_alert_transactions`` lists every transaction of every alert.
+    ``aml_alert_transactions`` lists every transaction of every alert with its ``alert_id``.
     """
     if not params.enabled:
         return {"status": "disabled"}
@@ -203,11 +204,11 @@ def run_aml_job(
         sinks.replace_parquet(apply_rules(aml_features(ledger, params), params), scored_path)
         scored = spark.read.parquet(scored_path)
         hits = aml_alerts.triggered(scored)
-        alerts = aml_alerts.generate_alerts(hits, run_time or _now(), params.inline_ids_limit)
-        sinks.write_aml_alerts(alerts, alerts_path)
-        sinks.replace_parquet(aml_alerts.alert_transactions(hits), members_path)
+        numbered = cut_lineage(aml_alerts.numbered_alerts(hits, run_time or _now()))
+        sinks.write_aml_alerts(aml_alerts.with_ids(numbered, hits), alerts_path)
+        sinks.replace_parquet(aml_alerts.alert_transactions(hits, numbered), members_path)
         metrics = aml_metrics(scored).first().asDict()
-        metrics["alerts_generated"] = spark.read.parquet(alerts_path).count()
+        metrics["alerts_generated"] = numbered.count()
     except Exception as error:
         raise AmlDetectionError(f"AML detection failed: {error}") from error
     return {

@@ -52,8 +52,9 @@ dirty AS (
          CASE WHEN value BETWEEN 1 AND 1.5 THEN NULL ELSE account_id END AS account_id,
          CASE WHEN value BETWEEN 2 AND 2.5 THEN NULL ELSE txn_date END AS txn_date,
          ingestion_date,
-         CASE WHEN value BETWEEN 3 AND 3.5 OR value BETWEEN 4 AND 4.5 THEN NULL ELSE amount END AS amount,
-         value BETWEEN 3 AND 3.5 AS bad_amount,
+         CASE WHEN value BETWEEN 3 AND 3.5 OR value BETWEEN 4 AND 4.5 OR value BETWEEN 7 AND 7.5 THEN NULL
+              ELSE amount END AS amount,
+         value BETWEEN 3 AND 3.5 OR value BETWEEN 7 AND 7.5 AS bad_amount, value BETWEEN 7 AND 7.5 AS huge_amount,
          currency,
          CASE WHEN value BETWEEN 100 AND 105 THEN 'crypto' WHEN value BETWEEN 5 AND 5.5 THEN NULL
               ELSE txn_type END AS txn_type,
@@ -226,6 +227,7 @@ _NEAR_TXNS = f"""CAST(count(*) FILTER ({_NEAR}) OVER (PARTITION BY account_id OR
 RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS near_threshold_txns"""
 
 ORACLES["velocity_rows"] = f"{_A} SELECT txn_id, {_ROWS_3} FROM ledger"
+ORACLES["velocity_rows_sliced"] = ORACLES["velocity_rows"]
 ORACLES["velocity_custom"] = f"{_B} SELECT txn_id, {_row_window(3, '3d')}, {_row_window(14, '14d')} FROM ledger"
 ORACLES["velocity_days"] = f"{_A} SELECT txn_id, {_DAYS_3} FROM ledger"
 _TIME = """CAST(hour(txn_date) AS INTEGER) AS hour_of_day, CAST(isodow(txn_date) - 1 AS INTEGER) AS day_of_week,
@@ -285,6 +287,12 @@ SELECT account_id, alert_date, rule_id, rule_name, arg_max(severity, risk_score)
        'open' AS status, string_agg(txn_id, ',' ORDER BY txn_id) AS triggering_txn_ids
 FROM hits GROUP BY account_id, alert_date, rule_id, rule_name)"""
 ORACLES["aml_alerts"] = f"{_S}, {_ALERTS} SELECT * FROM alerts"
+_PARTED = """parted AS (SELECT account_id, alert_date, rule_id, txn_id,
+CAST(CAST('0x' || substr(md5(txn_id), 1, 15) AS BIGINT)
+  % CAST(ceil(count(*) OVER (PARTITION BY account_id, alert_date, rule_id) / 3.0) AS BIGINT) AS INTEGER) AS ids_part
+FROM hits)"""
+ORACLES["aml_alert_id_parts"] = f"""{_S}, {_HITS}, {_PARTED} SELECT account_id, alert_date, rule_id, ids_part,
+string_agg(txn_id, ',' ORDER BY txn_id) AS triggering_txn_ids FROM parted GROUP BY ALL"""
 ORACLES["aml_alerts_days"] = f"{_SD}, {_ALERTS} SELECT * EXCLUDE (triggering_txn_ids) FROM alerts"
 ORACLES["aml_alert_numbers"] = f"""{_S}, {_ALERTS}
 SELECT 'AML-20240201063000-' || lpad(CAST(row_number() OVER (ORDER BY account_id, alert_date, rule_id) AS VARCHAR), 6, '0')
@@ -305,7 +313,7 @@ def _found(kind: str, column: str, count: str, message: str, severity: str = "er
 
 def _nulls(column: str) -> str:
     return _found(
-        "not_null", column, f"count(*) FILTER ({column} IS NULL)", f"'Column ''{column}'' has ' || n || ' null values'"
+        "not_null", column, f"count(*) FILTER ({column} IS NULL)", f"'''{column}'' is empty in ' || n || ' rows'"
     )
 
 
@@ -313,9 +321,9 @@ _BAD = {
     "txn_type": "txn_type NOT IN ('CARD', 'TRANSFER', 'DEPOSIT', 'PAYMENT')",
     "status": "status NOT IN ('COMPLETED', 'settled', 'OK', 'PENDING')",
 }
-_C_UNIQUE = _found("unique", "txn_id", _DUPLICATES, "'Column ''txn_id'' has ' || n || ' duplicate values'")
-_C_LOW = _found("range", "amount", "count(*) FILTER (amount < -20000)", "n || ' values below minimum -20000.0'")
-_C_HIGH = _found("range", "amount", "count(*) FILTER (amount > 20000)", "n || ' values above maximum 20000.0'")
+_C_UNIQUE = _found("unique", "txn_id", _DUPLICATES, "n || ' rows repeat a value of ''txn_id'''")
+_C_LOW = _found("range", "amount", "count(*) FILTER (amount < -20000)", "n || ' rows lie under the floor of -20000.0'")
+_C_HIGH = _found("range", "amount", "count(*) FILTER (amount > 20000 OR huge_amount)", "n || ' rows lie over the ceiling of 20000.0'")
 _C_REGEX = _found(
     "regex",
     "txn_id",
@@ -323,15 +331,15 @@ _C_REGEX = _found(
     "n || ' values of ''txn_id'' do not match ^e[0-9]{3,}$'",
 )
 _C_SHORT = """SELECT 'custom' AS constraint_type, '*' AS column_name,
-'Row count ' || count(*) || ' below minimum 100000000000' AS message, 'error' AS severity,
+count(*) || ' rows, at least 100000000000 expected' AS message, 'error' AS severity,
 100000000000 - count(*) AS violation_count FROM dirty"""
 _C_LONG = """SELECT 'custom' AS constraint_type, '*' AS column_name,
-'Row count ' || count(*) || ' exceeds maximum 100' AS message, 'error' AS severity,
+count(*) || ' rows, at most 100 expected' AS message, 'error' AS severity,
 count(*) - 100 AS violation_count FROM dirty HAVING count(*) > 100"""
 _C_MISSING = """SELECT 'not_null' AS constraint_type, 'branch' AS column_name,
-'Required column ''branch'' is missing' AS message, 'error' AS severity, CAST(1 AS BIGINT) AS violation_count"""
+'the table lacks ''branch''' AS message, 'error' AS severity, CAST(1 AS BIGINT) AS violation_count"""
 _C_ENUMS = [
-    _found("enum", c, f"count(*) FILTER ({bad})", f"'Invalid values in ''{c}'': ' || n || ' rows'")
+    _found("enum", c, f"count(*) FILTER ({bad})", f"n || ' rows hold a value of ''{c}'' that its list lacks'")
     for c, bad in _BAD.items()
 ]
 
@@ -392,9 +400,9 @@ drift AS (
                       ELSE 'type_changed' END AS event_type,
          CASE WHEN column_name = 'amount' AND b.dtype IS NOT NULL THEN 'critical' ELSE 'warning' END AS severity,
          column_name, b.dtype AS expected, a.dtype AS actual,
-         CASE WHEN b.dtype IS NULL THEN 'New column ''' || column_name || ''' detected'
-              WHEN a.dtype IS NULL THEN 'Column ''' || column_name || ''' was removed'
-              ELSE 'Column ''' || column_name || ''' type changed from ' || b.dtype || ' to ' || a.dtype
+         CASE WHEN b.dtype IS NULL THEN '''' || column_name || ''' is not in the baseline'
+              WHEN a.dtype IS NULL THEN '''' || column_name || ''' is only in the baseline'
+              ELSE '''' || column_name || ''' is ' || b.dtype || ' in the baseline, ' || a.dtype || ' now'
               END AS description
   FROM before b FULL OUTER JOIN after a USING (source, column_name)
   WHERE b.dtype IS DISTINCT FROM a.dtype)"""
@@ -498,6 +506,7 @@ WHERE severity <> 'info'"""
 ORACLES["alert_ids"] = f"WITH {_ALERT_ROWS} SELECT event_id, alert_id FROM alert_rows"
 ORACLES["alert_throttle"] = f"""WITH RECURSIVE {_SENT}
 SELECT event_id, event_at, alert_id FROM passing WHERE event_id IN (SELECT event_id FROM sent)"""
+ORACLES["alert_throttle_hot"] = ORACLES["alert_throttle"]
 ORACLES["active_alerts"] = f"""WITH {_ALERT_ROWS},
 acks AS (SELECT alert_id, count(*) AS n FROM alert_rows WHERE value > 40 GROUP BY alert_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY event_at) AS nth FROM alert_rows)
@@ -509,9 +518,19 @@ SELECT TIMESTAMP '2024-02-01 06:30:00' AS event_at, severity, 'quality' AS categ
 UNION ALL SELECT measured_at, 'error', 'sla', 'SLA Violation: ' || metric_name || ' ' || subject,
        format('{{:.1f}}', value) || ' ' || unit || ' (limit ' || format('{{:.1f}}', threshold) || ')', 'sla_monitor'
 FROM metrics WHERE status IN ('violated', 'stale')
-UNION ALL SELECT TIMESTAMP '2024-02-01 06:30:00', severity, 'schema', 'Schema Drift in ' || source || ': ' || event_type,
+UNION ALL SELECT TIMESTAMP '2024-02-01 06:30:00', severity, 'schema', 'Schema of ' || source || ': ' || event_type,
        description, 'schema_drift' FROM drift"""
 
+# --- Jobs ---------------------------------------------------------------------------------------
+
+ORACLES["ledger_job_ledger"] = ORACLES["ledger"]
+ORACLES["ledger_job_balance"] = ORACLES["staged_balance"]
+ORACLES["ledger_job_quality"] = ORACLES["quality_row_counts"].replace(_A, _B)
+ORACLES["aml_job_scored"] = f"{_S} SELECT txn_id, risk_score, severity, is_alert FROM scored"
+ORACLES["aml_job_alerts"] = ORACLES["aml_alert_numbers"].replace(
+    "triggering_txn_count, description,\n       status", "triggering_txn_ids"
+)
+
 # --- Streaming ----------------------------------------------------------------------------------
 
 ORACLES["stream_ledger"] = ORACLES["ledger"]

@@ -27,7 +27,8 @@ from quaestor.operators import (
 )
 from quaestor.operators import aml_alerts as alerting
 from quaestor.operators.contracts import ColumnRule, Contract, Reference
-from quaestor.params import AmlParams, FeedParams, TrustParams
+from quaestor.params import AmlParams, FeedParams, JobParams, SkewParams, TrustParams
+from quaestor.plans import jobs
 from quaestor.plans.stages import StageStore
 from quaestor.session import cut_lineage, scratch_path
 from quaestor.sources import sinks
@@ -72,6 +73,8 @@ def dirty_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v.between(2, 2.5), "not-a-date").otherwise(F.col("txn_date")).alias("txn_date"),
         "ingestion_date",
         F.when(v.between(3, 3.5), "12,50")
+        .when(v.between(7, 7.2), "inf")
+        .when(v.between(7, 7.5), "1e19")
         .when(v.between(4, 4.5), None)
         .otherwise(F.col("amount"))
         .alias("amount"),
@@ -372,9 +375,9 @@ def _rounded_velocity(df: DataFrame, windows=C.VELOCITY_WINDOWS) -> DataFrame:
     return df.withColumns(rounded)
 
 
-def _velocity(spark, d, ledger_, windows=C.VELOCITY_WINDOWS, frame="rows"):
+def _velocity(spark, d, ledger_, windows=C.VELOCITY_WINDOWS, frame="rows", skew=SkewParams()):
     kept = ["txn_id", *[f"{k}_{w.lower()}" for w in windows for k in ("txn_count", "amount_sum", "amount_avg")]]
-    return _rounded_velocity(velocity.velocity(ledger_, windows, frame), windows).select(*kept)
+    return _rounded_velocity(velocity.velocity(ledger_, windows, frame, skew), windows).select(*kept)
 
 
 @query
@@ -382,6 +385,13 @@ def velocity_rows(spark, d):
     return _velocity(spark, d, _ledger_a(spark, d))
 
 
+@query
+def velocity_rows_sliced(spark, d):
+    """The same windows with most accounts cut into slices."""
+    split = SkewParams(min_hot_rows=10, slice_rows=5_000)
+    return _velocity(spark, d, _ledger_a(spark, d), skew=split)
+
+
 @query
 def velocity_custom(spark, d):
     return _velocity(spark, d, _ledger_b(spark, d), ("3D", "14D"))
@@ -467,12 +477,18 @@ def _joined_ids(alerts: DataFrame) -> DataFrame:
 
 @query
 def aml_alerts(spark, d):
-    return _joined_ids(alerting.deduplicated_alerts(_hits(spark, d)))
+    return _joined_ids(alerting.deduplicated_alerts(_hits(spark, d)).drop("ids_part"))
+
+
+@query
+def aml_alert_id_parts(spark, d):
+    """Ids in parts of about three, so that the layout of large alerts is checked too."""
+    return _joined_ids(alerting.id_parts(_hits(spark, d), 3))
 
 
 @query
 def aml_alert_numbers(spark, d):
-    return alerting.generate_alerts(_hits(spark, d), RUN_TIME).select(
+    return alerting.numbered_alerts(_hits(spark, d), RUN_TIME).select(
         "alert_id", "alert_timestamp", "account_id", "rule_id", "triggering_txn_count", "description", "status"
     )
 
@@ -805,6 +821,14 @@ def alert_throttle(spark, d):
     return events.send_events(_alerts(spark, d), "event_id", NOISY).select("event_id", "event_at", "alert_id")
 
 
+@query
+def alert_throttle_hot(spark, d):
+    """The same with every key of several events cut into stretches."""
+    split = SkewParams(min_hot_rows=1, slice_rows=100)
+    sent = events.send_events(_alerts(spark, d), "event_id", NOISY, split)
+    return sent.select("event_id", "event_at", "alert_id")
+
+
 @query
 def alert_ids(spark, d):
     return _alerts(spark, d).select("event_id", events.alert_id().alias("alert_id"))
@@ -829,6 +853,51 @@ def alert_events(spark, d):
     )
 
 
+# --- Jobs ---------------------------------------------------------------------------------------
+
+
+def _ledger_job(spark, d) -> dict[str, str]:
+    """The ledger job over the events feed, written as CSV first."""
+    path = scratch_path(spark, "job")
+    feed = events_feed(spark, d)
+    text = feed.select(*[F.col(c).cast("string").alias(c) for c in feed.columns])
+    text.write.option("header", True).csv(f"{path}/feed")
+    params = JobParams(feed=FeedParams(valid_txn_types=None), aml=AML)
+    return jobs.run_ledger_job(spark, f"{path}/feed", f"{path}/out", params)
+
+
+def _aml_job(spark, d) -> dict:
+    paths = _ledger_job(spark, d)
+    return jobs.run_aml_job(spark, paths["ledger"], paths["trust"].removesuffix("/trust"), AML, RUN_TIME)
+
+
+@query
+def ledger_job_ledger(spark, d):
+    return read_ledger(spark, _ledger_job(spark, d)["ledger"])
+
+
+@query
+def ledger_job_balance(spark, d):
+    return spark.read.parquet(_ledger_job(spark, d)["daily_balance"])
+
+
+@query
+def ledger_job_quality(spark, d):
+    return spark.read.json(_ledger_job(spark, d)["quality"]).select("row_counts.*")
+
+
+@query
+def aml_job_scored(spark, d):
+    scored = spark.read.parquet(_aml_job(spark, d)["scored_transactions_path"])
+    return scored.select("txn_id", "risk_score", "severity", "is_alert")
+
+
+@query
+def aml_job_alerts(spark, d):
+    alerts = spark.read.parquet(_aml_job(spark, d)["alerts_path"])
+    return alerts.select("alert_id", "alert_timestamp", "account_id", "rule_id", "triggering_txn_ids")
+
+
 # --- Streaming ----------------------------------------------------------------------------------
 
 

@@ -149,7 +149,7 @@ def scored(spark):
 
 def test_alerts(scored):
     alerts = aml_alerts.generate_alerts(aml_alerts.triggered(scored), datetime(2024, 3, 1, 12, 0, 5))
-    assert tuple(alerts.columns) == C.AML_ALERT_COLUMNS
+    assert tuple(alerts.columns) == (*C.AML_ALERT_COLUMNS, "ids_part")
     got = [
         (r.alert_id[-6:], r.account_id, r.rule_id, r.severity, r.risk_score, r.triggering_txn_ids, r.triggering_amount_sum)
         for r in alerts.orderBy("alert_id").collect()
@@ -169,17 +169,24 @@ def test_alerts(scored):
 
 def test_no_alerts_keep_the_layout(scored):
     none = aml_alerts.generate_alerts(aml_alerts.triggered(scored.limit(0)), datetime(2024, 3, 1))
-    assert none.count() == 0 and tuple(none.columns) == C.AML_ALERT_COLUMNS
+    assert none.count() == 0 and tuple(none.columns) == (*C.AML_ALERT_COLUMNS, "ids_part")
 
 
-def test_oversized_alert_keeps_all_ids_in_rows(scored):
-    hits = aml_alerts.triggered(scored)
-    alerts = aml_alerts.deduplicated_alerts(hits, inline_ids_limit=1)
-    big = alerts.filter("triggering_txn_count > 1").collect()
-    assert [(r.rule_id, r.triggering_txn_ids) for r in big] == [("velocity_count", None)]
-    key = (F.col("rule_id") == "velocity_count") & (F.col("alert_date") == "2024-01-01")
-    assert collect(aml_alerts.alert_transactions(hits).filter(key), "txn_id") == [("t1",), ("t2",)]
-    assert alerts.filter("triggering_txn_ids IS NOT NULL").count() == 4
+@pytest.mark.parametrize("part_ids", [1, 3, 100])
+def test_alerts_of_any_size_keep_all_ids(spark, part_ids):
+    rows = [(f"t{i:03d}", "big" if i < 90 else f"a{i}") for i in range(100)]
+    hits = spark.createDataFrame(rows, "txn_id string, account_id string").selectExpr(
+        "account_id", "DATE'2024-01-01' AS alert_date", "'structuring' AS rule_id", "txn_id", "1.0D AS magnitude",
+        "50.0D AS risk_score", "'medium' AS severity",
+    )
+    alerts = aml_alerts.generate_alerts(hits, datetime(2024, 3, 1), part_ids)
+    listed = alerts.select("account_id", F.explode("triggering_txn_ids").alias("txn_id"))
+    assert collect(listed, "account_id", "txn_id") == sorted((a, t) for t, a in rows)
+    assert alerts.filter("size(triggering_txn_ids) > 6 * %d" % part_ids).count() == 0
+    assert alerts.select("alert_id").distinct().count() == 11
+    numbered = aml_alerts.numbered_alerts(hits, datetime(2024, 3, 1))
+    members = aml_alerts.alert_transactions(hits, numbered)
+    assert members.count() == 100 and members.filter("account_id = 'big'").select("alert_id").distinct().count() == 1
 
 
 def test_alerts_are_unique_per_key_and_scores_bounded(ledger_rows):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.operators import skew, velocity
 from quaestor.operators.numbering import number_in_order
-from quaestor.operators.throttle import throttle
+from quaestor.operators.throttle import sliced, throttle
 from quaestor.params import SkewParams
 
 from .conftest import collect
@@ -104,6 +104,20 @@ def test_throttle(noisy, minutes, hot):
     assert set(got) == brute_force(rows, round(minutes * 60))
 
 
+def test_stretches_are_cut_by_rows(spark):
+    """A burst within an hour, one event ten years before, and many events at one time."""
+    rows = [("k", 0, 0)] + [("k", 315_000_000 + i // 8, i + 1) for i in range(20_000)]
+    rows += [("k", 315_003_000, 30_000 + i) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint")
+    at = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, t)").alias("at")
+    keyed = df.select(F.col("k").alias("_key"), (F.col("t") * 1_000_000).alias("_at"), "i")
+    sizes = [r["count"] for r in sliced(keyed, "i", 25).groupBy("_group").count().collect()]
+    assert max(sizes) <= 3_000 and sum(sizes) == 2_501 + 1
+    for slice_rows in (1_000, 100):
+        sent = throttle(df.select("k", "i", at), F.col("k"), "at", "i", 5, SkewParams(min_hot_rows=10, slice_rows=slice_rows))
+        assert {r.i for r in sent.collect()} == brute_force(rows, 300)
+
+
 def test_no_throttle_keeps_all(noisy):
     rows, df = noisy
     assert throttle(df, F.col("k"), "at", "i", 0).count() == len(rows)
