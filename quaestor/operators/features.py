@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor import constants as C
 from quaestor.functions.columns import half_even, or_false
-from quaestor.operators.velocity import attach_days, rolling_days, velocity
+from quaestor.operators.velocity import attach_days, rolling_days, velocity, velocity_days
 from quaestor.params import AmlParams
 
 
@@ -67,14 +67,20 @@ def structuring_pattern(ledger: DataFrame, params: AmlParams = AmlParams()) -> D
 
 
 def aml_features(ledger: DataFrame, params: AmlParams = AmlParams()) -> DataFrame:
-    """All features in one plan; the round-number columns are absent when switched off."""
-    df = velocity(ledger, params.velocity_windows, params.velocity_frame, params.skew)
-    df = time_features(df)
+    """All features in one plan; the round-number columns are absent when switched off.
+
+    Day windows and the structuring pattern share their aggregation, window and join.
+    """
+    pattern = params.min_structuring_txns is not None
     df = structuring_features(
-        df, params.ctr_threshold, params.lower_bound_factor, params.upper_bound_factor
+        time_features(ledger), params.ctr_threshold, params.lower_bound_factor, params.upper_bound_factor
     )
-    if params.min_structuring_txns is not None:
-        df = structuring_pattern(df, params)
+    if pattern and params.velocity_frame == "days":
+        near = ("is_near_threshold", f"{params.structuring_window_days}D", "near_threshold_txns")
+        df = velocity_days(df, params.velocity_windows, near)
+    else:
+        df = velocity(df, params.velocity_windows, params.velocity_frame, params.skew)
+        df = structuring_pattern(df, params) if pattern else df
     if params.round_numbers_enabled:
         df = round_number_features(df, params.large_round_amounts)
     return df

@@ -140,16 +140,26 @@ def attach_days(ledger: DataFrame, per_day: DataFrame) -> DataFrame:
     return dated.join(per_day, ["account_id", "txn_day"], "left").select(*ledger.columns, *added)
 
 
-def velocity_days(ledger: DataFrame, windows: tuple[str, ...] = C.VELOCITY_WINDOWS) -> DataFrame:
-    """Windows over the last N calendar days, today included. Sums are exact."""
+def velocity_days(
+    ledger: DataFrame, windows: tuple[str, ...] = C.VELOCITY_WINDOWS, flagged: tuple[str, str, str] | None = None
+) -> DataFrame:
+    """Windows over the last N calendar days, today included. Sums are exact.
+
+    ``flagged`` (boolean column, window, output name) counts flagged rows in the same pass.
+    """
     magnitude = F.abs("amount")
     daily = {
         "ids": F.count("txn_id"),
         "amounts": F.count("amount"),
         "total": exact_sum(magnitude),
     }
-    rolled = rolling_days(ledger, daily, windows)
-    columns = []
+    columns, labels = [], windows
+    if flagged:
+        column, label, name = flagged
+        daily["flagged"] = F.count_if(column)
+        labels = tuple(dict.fromkeys((*windows, label)))
+        columns.append(F.col(f"flagged_{label.lower()}").alias(name))
+    rolled = rolling_days(ledger, daily, labels)
     for label in windows:
         w = label.lower()
         total = F.col(f"total_{w}").cast("double")

@@ -444,9 +444,10 @@ ORACLES["lineage_impact"] = f"""WITH RECURSIVE {_EDGES}, walk AS (
 SELECT DISTINCT parent AS start, parent AS node, 0 AS steps FROM edges
 UNION SELECT w.start, e.node, w.steps + 1 FROM walk w JOIN edges e ON e.parent = w.node)
 SELECT start, node, steps FROM walk WHERE steps > 0"""
-ORACLES["source_fingerprint"] = """SELECT count(*) AS row_count,
-CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(31), event_id, user_id, event_type, props)), 1, 12)) AS BIGINT))
-  AS VARCHAR) AS fingerprint FROM events"""
+ORACLES["source_fingerprint"] = """WITH hashed AS (
+SELECT md5(concat_ws(chr(31), event_id, user_id, event_type, props)) AS h FROM events)
+SELECT count(*) AS row_count, sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) || '-' ||
+       sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS fingerprint FROM hashed"""
 
 # --- SLA ----------------------------------------------------------------------------------------
 
@@ -541,6 +542,5 @@ placed AS (SELECT *, CAST(CAST(txn_date AS DATE) - CAST(b.back AS INTEGER) AS TI
            FROM ledger, (SELECT unnest(range(7)) AS back) b)
 SELECT account_id, window_start, window_start + INTERVAL 7 DAY AS window_end, count(txn_id) AS txn_count,
        {_money('abs(amount)')} AS amount_sum FROM placed
-WHERE window_start + INTERVAL 7 DAY <= (SELECT max(txn_date) FROM ledger) - INTERVAL 7 DAY
 GROUP BY account_id, window_start"""
 ORACLES["stream_throttle"] = ORACLES["alert_throttle"]

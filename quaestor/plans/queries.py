@@ -721,10 +721,7 @@ def file_hashes(spark, d):
 
 @query
 def source_fingerprint(spark, d):
-    out = lineage.table_fingerprint(
-        table(spark, d, "events"), ("event_id", "user_id", "event_type", "props")
-    )
-    return out.withColumn("fingerprint", F.col("fingerprint").cast("string"))
+    return lineage.table_fingerprint(table(spark, d, "events"), ("event_id", "user_id", "event_type", "props"))
 
 
 # --- SLA ----------------------------------------------------------------------------------------
@@ -943,9 +940,12 @@ def stream_balances(spark, d):
 
 @query
 def stream_velocity(spark, d):
-    """Windows that are closed once the stream is a week past their end."""
-    kept = ledger_stream.stream_ledger(as_feed(_stream_events(spark, d)))
-    return _drained(spark, "velocity", ledger_stream.event_time_velocity(kept))
+    """All windows, those too that later rows may still change."""
+    path = scratch_path(spark, "velocity")
+    windows = ledger_stream.event_time_velocity(ledger_stream.stream_ledger(as_feed(_stream_events(spark, d))))
+    ledger_stream.run_to_versions(windows, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    keys = ["account_id", "window_start", "window_end"]
+    return ledger_stream.newest_versions(spark, f"{path}/table", windows.schema, keys)
 
 
 @query

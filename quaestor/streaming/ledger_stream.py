@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quaestor.functions.columns import event_time, exact_sum, micros, na_to_null, zone_free
 from quaestor.operators import events
@@ -35,9 +36,14 @@ def stream_ledger(raw: DataFrame, params: FeedParams = FeedParams()) -> DataFram
     return ledger_of(clean_transactions(raw, params))
 
 
-def deduplicate(ledger: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Keep the first row of each ``txn_id`` seen within ``delay`` of event time; the state of
-    older ids is dropped."""
+def deduplicate(ledger: DataFrame, delay: str | None = None) -> DataFrame:
+    """Keep the first row of each ``txn_id``, however late it or its copies arrive.
+
+    The state holds every id seen, dealt over the shuffle partitions. Where that is too much, ``delay``
+    bounds it: rows later than that are dropped then, and copies further apart both stay.
+    """
+    if delay is None:
+        return ledger.dropDuplicates(["txn_id"])
     timed = ledger.withColumn("_at", event_time(F.col("txn_date"))).withWatermark("_at", delay)
     return timed.dropDuplicatesWithinWatermark(["txn_id"]).drop("_at")
 
@@ -54,6 +60,33 @@ def run_to_table(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def run_to_versions(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what each batch has changed to a folder of its own (a retried batch replaces it), and stop.
+
+    So groups are there from their first row on, not only once the watermark has closed them.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        rows.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def newest_versions(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The last version of each group that :func:`run_to_versions` has written with ``schema``."""
+    versioned = StructType([*schema.fields, StructField("batch", LongType())])
+    stored = spark.read.option("basePath", path).schema(versioned).parquet(path)
+    values = [f for f in stored.columns if f not in (*keys, "batch")]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_newest"))
+    return newest.select(*keys, "_newest.*")
+
+
 def repair_balances(ledger: DataFrame, ledger_path: str, balance_path: str, checkpoint: str) -> StreamingQuery:
     """Keep daily balances right under late data, recomputing only the days a batch touches.
 
