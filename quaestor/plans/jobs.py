@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor import constants as C
+from quaestor.functions.columns import micros
 from quaestor.operators import aml_alerts, drift, events, lineage, sla
 from quaestor.operators.balance import daily_balance
 from quaestor.operators.features import aml_features
@@ -54,9 +55,14 @@ class _Trust:
         self.emit(events.drift_events(found, _now()))
 
     def emit(self, rows: DataFrame) -> None:
-        """Append the events that pass the severity filter; a run emits a handful."""
-        passing = events.filter_severity(rows, self.params.severity_filter)
-        sinks.append_events_json(passing.withColumn("alert_id", events.alert_id()), f"{self.root}/events")
+        """Append the events that pass the severity filter and the throttle, also against earlier runs."""
+        path, known = f"{self.root}/events", None
+        if fs.exists(self.spark, path):
+            schema = "event_at timestamp_ntz, category string, title string"
+            earlier = self.spark.read.schema(schema).json(path)
+            at = F.max(micros(F.col("event_at"))).alias("last_us")
+            known = earlier.groupBy(events.throttle_key().alias("key")).agg(at)
+        sinks.append_events_json(events.send_events(rows, "message", self.params, last_sent=known), path)
 
     def sla_metrics(self) -> DataFrame:
         runs = self.spark.createDataFrame(self.runs, "process string, started timestamp_ntz, ended timestamp_ntz")
@@ -73,6 +79,8 @@ class _Trust:
         found = reduce(DataFrame.unionByName, self.drifts)
         sinks.append_events_json(found, f"{self.root}/drift_events")
         sinks.write_report_json(drift.drift_summary(found), f"{self.root}/drift_summary")
+        recent = drift.recent_events(found, ("source", "column_name"))
+        sinks.write_report_json(recent, f"{self.root}/drift_recent")
         metrics = self.sla_metrics()
         sinks.append_events_json(metrics, f"{self.root}/sla_metrics")
         sinks.write_report_json(sla.sla_report(metrics), f"{self.root}/sla_report")

@@ -411,6 +411,7 @@ ORACLES["schema_drift"] = f"{_D}, {_DRIFT} SELECT * FROM drift"
 ORACLES["drift_summary"] = f"""{_D}, {_DRIFT} SELECT count(*) AS total_events,
 count(*) FILTER (severity = 'critical') AS critical_count, count(*) FILTER (severity = 'warning') AS warning_count,
 CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM drift"""
+ORACLES["drift_recent"] = f"{_D}, {_DRIFT} SELECT * FROM drift ORDER BY source DESC, column_name DESC LIMIT 2"
 ORACLES["null_share_drift"] = f"{_D} SELECT * FROM (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name,
 (SELECT round(avg(CAST({c} IS NULL AS INTEGER)), 8) FROM feed) AS baseline_share,
@@ -440,6 +441,8 @@ ORACLES["lineage_chain"] = f"""WITH RECURSIVE {_EDGES}, walk AS (
 SELECT DISTINCT node AS start, node, 0 AS steps FROM edges
 UNION SELECT w.start, e.parent, w.steps + 1 FROM walk w JOIN edges e ON e.node = w.node)
 SELECT start, node, steps FROM walk"""
+ORACLES["lineage_first_parents"] = """SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS steps FROM customer
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1 FROM customer"""
 ORACLES["lineage_impact"] = f"""WITH RECURSIVE {_EDGES}, walk AS (
 SELECT DISTINCT parent AS start, parent AS node, 0 AS steps FROM edges
 UNION SELECT w.start, e.node, w.steps + 1 FROM walk w JOIN edges e ON e.parent = w.node)

@@ -646,6 +646,11 @@ def drift_summary(spark, d):
     return drift.drift_summary(_feed_drift(spark, d))
 
 
+@query
+def drift_recent(spark, d):
+    return drift.recent_events(_feed_drift(spark, d), ("source", "column_name"), 2)
+
+
 @query
 def null_share_drift(spark, d):
     columns = ("txn_id", "account_id", "txn_type", "status")
@@ -708,6 +713,17 @@ def lineage_chain(spark, d):
     return lineage.lineage_chain(edges, edges.select("node"))
 
 
+@query
+def lineage_first_parents(spark, d):
+    """Nodes with several parents: of a customer's, the nation comes first, then the segment."""
+    nodes = table(spark, d, "customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("node_id"),
+        F.array(F.concat(F.lit("n"), "c_nationkey"), F.col("c_mktsegment")).alias("parent_nodes"),
+    )
+    edges = lineage.first_parents(nodes)
+    return lineage.lineage_chain(edges, edges.select("node"))
+
+
 @query
 def lineage_impact(spark, d):
     edges = _edges(spark, d)

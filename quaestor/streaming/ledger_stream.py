@@ -155,7 +155,8 @@ def throttle_stream(
     Each micro-batch goes through the batch operator, so that a key of any size is split there
     too. What carries over is a table with the last sent time per key, one version per batch: a
     retried batch reads the version before it and writes the same rows again. An event that
-    arrives in a later batch but is older than the last sent one is dropped.
+    arrives in a later batch but is older than the last sent one can no longer take its place;
+    those that pass the filter are kept in ``<sent_path>_late``.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -163,6 +164,10 @@ def throttle_stream(
         before, after = f"{state_path}/batch={batch_id - 1}", f"{state_path}/batch={batch_id}"
         known = spark.read.parquet(before) if fs.exists(spark, before) else None
         sent = events.send_events(batch, tie, params, skew, known)
+        if known is not None:
+            late = events.filter_severity(batch, params.severity_filter).withColumn("_key", events.throttle_key())
+            late = late.join(known, (late["_key"] == known.key) & (micros(F.col("event_at")) < known.last_us), "left_semi")
+            late.drop("_key").write.mode("overwrite").parquet(f"{sent_path}_late/batch={batch_id}")
         sent.write.mode("overwrite").parquet(f"{sent_path}/batch={batch_id}")
         written = spark.read.schema(sent.schema).parquet(f"{sent_path}/batch={batch_id}")
         latest = written.select(events.throttle_key().alias("key"), micros(F.col("event_at")).alias("last_us"))

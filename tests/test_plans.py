@@ -36,6 +36,13 @@ def test_day_windows_run_over_daily_rows(stored):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_day_features_take_one_aggregation_and_one_join(stored):
+    params = AmlParams(velocity_frame="days", min_structuring_txns=3)
+    text = plan(features.aml_features(stored, params))
+    assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", text)) == 1
+    assert text.count("HashAggregate") == 2 and text.count("FileScan") == 2
+
+
 @pytest.mark.parametrize("name", ["daily_balance", "reconciliation", "transform_clean", "validation_violations",
                                   "rejection_report", "contract_violations", "sla_report", "aml_scored_days"])
 def test_no_python_and_no_cross_join(spark, name):
