@@ -12,8 +12,8 @@ the key, so the splitters can cut between them; the run of each salt is one row
 minimum. At most ``HOT_SHARE`` texts can be hot, which bounds the two broadcast tables.
 
 Null text counts as empty. Rows with a null ``doc_id`` come last; ``keep_id`` is null only if no row of
-the group has an id. Of repeated rows with one ``doc_id`` one stays. Other columns are not read, so
-their names cannot clash.
+the group has an id. Of repeated rows with one ``doc_id`` one stays. Other columns are only read if they are
+to be carried along, as one struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,9 +33,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}]{{2,}}|[\x09-\x0D]", " ")
 
 
-def exact_groups(docs: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select("doc_id", normalised(F.col("text")).cast("binary").alias("content"))
+def exact_groups(docs: DataFrame, hot_share: int = HOT_SHARE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    The columns named in ``carry`` stay with their row, in the struct ``document``; they also decide between
+    equal texts under one ``doc_id``, or under none.
+    """
+    own = [F.struct(*carry).alias("document")] if carry else []
+    with_own = ["document"] if carry else []
+    rows = docs.select("doc_id", normalised(F.col("text")).cast("binary").alias("content"), *own)
     rows = rows.withColumn("fingerprint", F.xxhash64("content"))
     total = docs.count()
     hot = (
@@ -51,18 +57,20 @@ def exact_groups(docs: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
         "fingerprint",
         F.col("salts").isNotNull().alias("hot"),
         F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).alias("salt"),
+        *with_own,
     )
     key = ["prefix", "fingerprint", "salt"]
-    last = F.col("doc_id").asc_nulls_last()
-    ranged = keyed.repartitionByRange(*key).sortWithinPartitions(*key, "content", last)
+    last = [F.col("doc_id").asc_nulls_last(), *with_own]
+    ranged = keyed.repartitionByRange(*key).sortWithinPartitions(*key, "content", *last)
     run = Window.partitionBy(*key, "content")
     runs = ranged.select(
         "doc_id",
         "hot",
         F.sha2("content", 256).alias("text_sha256"),
-        F.row_number().over(run.orderBy(last)).alias("place"),
+        F.row_number().over(run.orderBy(*last)).alias("place"),
         F.min("doc_id").over(run).alias("run_min"),
         F.count(F.lit(1)).over(run).alias("run_rows"),
+        *with_own,
     )
     runs = stored(runs, "runs")
     joined = (
@@ -77,4 +85,5 @@ def exact_groups(docs: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
         F.coalesce("hot_rows", "run_rows").alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep_id) & (F.col("place") == 1)).alias("kept"),
         "text_sha256",
+        *with_own,
     )

@@ -11,8 +11,8 @@ Sets with an equal part share a block. A set emits the parts of its size class,
 a partner can lie there. If a part of a set is empty, the parts of a second and third hash are added, and
 empty parts count only in the third.
 
-Exact copies are one set (128-bit digest of all n-grams) from the start, with the smallest doc_id as its
-representative. Links are found in two rounds:
+Exact copies are one set (128-bit digest of all n-grams) from the start, represented by the number of one of
+its rows, so sets of rows without id take part too. Links are found in two rounds:
 
 1. Each set joins the block of its most shared part, cut into tries of bounded size by a hash; every one
    also holds the block's smallest set, so copies connect across the cuts. A block is done when its sets
@@ -22,8 +22,9 @@ representative. Links are found in two rounds:
    moves fewer sets than its blocks one by one. So no link between unconnected sets is missed.
 
 N-grams are 64-bit hashes. Null or wordless texts have no n-grams and link with nothing. Rows that repeat
-a ``doc_id`` count as one document; a null ``doc_id`` gets the representative of equal rows, else null.
-Only doc_id and text are read.
+a ``doc_id`` count as one document; rows with a null ``doc_id`` are a document each, and their component is the
+smallest doc_id that their links reach, null if they reach none. ``first_documents`` takes every row as a
+document, whatever its id. Its other columns are carried along; else only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quaestor.llm.common import stored
 from quaestor.llm.graph import components
@@ -203,6 +205,8 @@ def links_of(names: list, sets: list[np.ndarray], labels: list, sides: list, thr
 
 
 def _fingerprints(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """``docs`` with n_shingles, set_id and parts; ``row`` is a number that no other row has, once stored."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, parts = [], [], []
@@ -212,14 +216,18 @@ def _fingerprints(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFr
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 parts.append(part_signatures(grams, threshold))
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "parts"],
+                [*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
+                [*batch.schema.names, "n_shingles", "set_id", "parts"],
             )
 
-    return docs.mapInArrow(each, "doc_id long, n_shingles long, set_id binary, parts array<long>")
+    kind = StructType([*docs.schema.fields])
+    kind = kind.add("n_shingles", "long").add("set_id", "binary").add("parts", ArrayType(LongType()))
+    return docs.mapInArrow(each, kind).withColumn("row", F.monotonically_increasing_id())
+
 
+def _contents(rows: DataFrame, n: int) -> DataFrame:
+    """The n-grams of each of ``rows`` (rep, text)."""
 
-def _contents(docs: DataFrame, n: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [ngram_set(text.as_py(), n) for text in batch.column(1)]
@@ -228,7 +236,7 @@ def _contents(docs: DataFrame, n: int) -> DataFrame:
                 ["rep", "n", "grams"],
             )
 
-    return docs.mapInArrow(each, "rep long, n long, grams binary")
+    return rows.mapInArrow(each, "rep long, n long, grams binary")
 
 
 def _linked(entries: DataFrame, contents: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -350,20 +358,61 @@ def _labels(shared: DataFrame, sizes: DataFrame, contents: DataFrame, threshold:
     return labels if more.isEmpty() else components(links.union(more)).toDF("rep", "label")
 
 
-def jaccard_components(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) per row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _components(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``docs`` with their fingerprints; and set_id, label (equal for linked sets) and ``best``.
+
+    ``best`` is the first row of the set: the one with the smallest doc_id, then by a hash of all columns.
+    """
+    text = F.col("text").cast("string").alias("text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *others)
+    docs = docs.withColumn("tie", F.xxhash64(*docs.columns))
     prints = stored(_fingerprints(docs, n, threshold), "prints")
-    sets = prints.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"))
-    postings = sets.where("rep is not null").select("rep", F.explode("parts").alias("part"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tie", "row")).alias("best")
+    sets = stored(prints.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("rep"), best), "sets")
+    firsts = prints.join(sets.select("rep"), prints.row == F.col("rep"), "left_semi")
+    postings = firsts.select(F.col("row").alias("rep"), F.explode("parts").alias("part"))
     sharers = postings.groupBy("part").agg(F.count("*").alias("sharers")).where("sharers > 1")
     shared = stored(postings.join(sharers, "part").select("part", "rep", "sharers"), "shared")
     wanted = shared.select("rep").distinct()
-    contents = stored(_contents(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi"), n), "contents")
-    sizes = contents.groupBy("rep").agg(F.max("n").alias("n"))
-    labels = _labels(shared, sizes, contents, threshold)
-    known = prints.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    known = known.join(labels, "rep", "left").select("set_id", F.coalesce("label", "rep").alias("component_id"))
+    texts = prints.select(F.col("row").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    contents = stored(_contents(texts, n), "contents")
+    labels = _labels(shared, contents.select("rep", "n"), contents, threshold)
+    return prints, sets.join(labels, "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"), "best")
+
+
+def _same_ids(prints: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` where those that rows of one doc_id have are linked as well."""
+    rows = prints.where("set_id is not null and doc_id is not null").select("doc_id", "set_id")
+    again = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = stored(rows.join(again, "doc_id", "left_semi").distinct(), "again")
+    if again.isEmpty():
+        return sets
+    sets = stored(sets, "labelled")
+    ends = again.join(sets, "set_id").select("doc_id", "label").distinct()
+    least = ends.groupBy("doc_id").agg(F.min("label").alias("least"))
+    edges = ends.join(least, "doc_id").where("label > least").select(F.col("label").alias("a"), F.col("least").alias("b"))
+    joined = components(edges).toDF("label", "joined")
+    return sets.join(joined, "label", "left").select("set_id", F.coalesce("joined", "label").alias("label"), "best")
+
+
+def jaccard_components(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) per row of ``docs``."""
+    prints, sets = _components(docs.select("doc_id", "text"), n, threshold)
+    sets = _same_ids(prints, sets)
+    least = sets.groupBy("label").agg(F.min("best.doc_id").alias("component_id"))
+    known = sets.join(least, "label").select("set_id", "component_id")
     return prints.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def first_documents(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without those linked to a row that stays: of each component the first row, by doc_id.
+
+    Every row is a document of its own, also if its doc_id is null or repeated.
+    """
+    prints, sets = _components(docs, n, threshold)
+    first = sets.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("kept_row"))
+    rows = prints.join(first, prints.row == first.kept_row, "left")
+    return rows.where("set_id is null or kept_row is not null").select(*docs.columns)

@@ -7,8 +7,7 @@ columns of ``documents``; extra columns are dropped. Filtering stages return row
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quaestor.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 from quaestor.llm.common import documents, stored
@@ -21,23 +20,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.passing(docs.select(*COLUMNS))
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """One row for each id in ``keep``; of rows that repeat an id the one with the smallest other columns."""
-    once = docs.select(*COLUMNS).join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi")
-    ties = Window.partitionBy("doc_id").orderBy(*[c for c in COLUMNS if c != "doc_id"])
-    return once.withColumn("_place", F.row_number().over(ties)).where("_place = 1").drop("_place")
-
-
 def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, the one with the smallest doc_id."""
-    groups = exact_dedup.exact_groups(docs)
-    return _only(docs, groups.where("kept").select(F.col("doc_id").alias("kept_id")))
+    """One row of each group of equal texts stays, the one with the smallest doc_id; decided on the row itself."""
+    return exact_dedup.exact_groups(docs, carry=COLUMNS).where("kept").select("document.*")
 
 
 def keep_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by the n-gram join stays, the one with the smallest doc_id."""
-    groups = ngram_join.jaccard_components(docs)
-    return _only(docs, groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")))
+    """One row of each group linked by the n-gram join stays, the one with the smallest doc_id."""
+    return ngram_join.first_documents(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -403,3 +403,22 @@ def test_pipeline(spark, odd):
         if name == "n-gram join":
             assert {r.doc_id for r in docs.collect()} == {c for _, _, c in brute_components(before.collect())}
     assert all(counts)
+
+
+A, B, C = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+MIXED_IDS = [
+    *((None, t) for t in (A, B + " end", C)),
+    *((3, A), (5, A), (5, B)),
+    *((7, A.replace("a", "d")), (8, A.replace("a", "d") + " end"), (8, B.replace("b", "e"))),
+]
+
+
+@pytest.mark.parametrize(
+    "stage, gone",
+    [("keep_exact", [(None, A), (5, A)]), ("keep_near", [(None, A), (None, B + " end"), (5, A), (8, A.replace("a", "d") + " end")])],
+)
+def test_pipeline_null_and_repeated_ids(spark, stage, gone):
+    """Texts that equal or resemble no other text stay, with whatever id; a copy never stands in for another text."""
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in MIXED_IDS], SCHEMA.split(", rank")[0])
+    got = Counter((r.doc_id, r.text) for r in getattr(pipeline, stage)(spark, df, SF).collect())
+    assert got == Counter(MIXED_IDS) - Counter(gone)
