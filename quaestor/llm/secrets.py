@@ -1,6 +1,9 @@
 """Secret scans: candidates by pattern, and a random forest that removes false positives.
 
-A candidate is a word with a run of at least ``LEAST`` characters of keys and tokens that holds a digit.
+Every run of characters of keys and tokens in a word is looked at with what stands before it, also if a word
+holds many (compact JSON, code, URLs); after an assignment the run is the whole value. A run is a candidate if
+it holds a digit and at least ``LEAST`` characters, or if an assignment or a hint (password, token, key)
+stands before it, in the word or in the two words before; then it may be of any length, without digits.
 Its features are expressions of built-in functions: length, changes between kinds of characters, how much
 of it common words cover, the path and the assignment around it, and the words before and after it. The
 forest is trained from labelled findings: rows of ``LABELLED``, whose form alone decides (known key formats
@@ -8,7 +11,8 @@ and assigned credentials, against numbers, dates, addresses and placeholders). A
 labelled candidates, drawn by a hash, are used; the features do not include these forms themselves.
 
 A null or empty text has no candidates. If the labelled findings have one class only, or there are none, a
-candidate's probability is its label, else 0. Other columns are not read.
+candidate's probability is its label, else 0. Each class gives half of the ``TRAIN_ROWS`` at most. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,41 +30,91 @@ TRAIN_ROWS = 20_000
 TREES = 20
 DEPTH = 6
 
-#: Pattern of the whole word, its predecessors joined by a blank, and the label.
+HINT = "(?i)pass|token|secret|key|auth|cred"
+ASSIGNED = r"""[=:]["'`(\[{ ]*$"""
+#: No assignment to a hint stands before.
+UNNAMED = r"""^(?!.*(?i:pass|token|secret|key|auth|cred)[^ ]* ?[=:]["'`(\[{ ]*$)"""
+
+#: Where a pattern is looked for, the pattern, another for what stands before the candidate, and the label.
 LABELLED = (
-    (r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])", None, 1.0),
-    (r"(?i)(password|passwd|secret|api_?key)[=:].{8,}", None, 1.0),
-    (r"[0-9a-f]{32,}", r"(?i)(token|secret|key) [=:]$", 1.0),
-    (r"(?i)https?://|www\.", None, 0.0),
-    (r"@[\w-]+\.\w+", None, 0.0),
-    (r"^[\d\s()+./:,;-]+$", None, 0.0),
-    (r"^\d{4}-\d\d-\d\d", None, 0.0),
-    (r"(?i)example|placeholder|x{6,}", None, 0.0),
+    ("candidate", r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])", None, 1.0),
+    ("candidate", r".{8,}", r"""(?i)(password|passwd|secret|api_?key)["'`]?[=:]["'`]?$""", 1.0),
+    ("candidate", r"[0-9a-f]{32,}", r"""(?i)(token|secret|key)["'`]? ?[=:]["'` ]*$""", 1.0),
+    ("around", r"(?i)https?://|www\.", None, 0.0),
+    ("around", r"@[\w-]+\.\w+", None, 0.0),
+    ("around", r"^[\d\s()+./:,;-]+$", None, 0.0),
+    ("candidate", r"^\d{4}-\d\d-\d\d", None, 0.0),
+    ("around", r"(?i)example|placeholder|x{6,}", None, 0.0),
+    ("candidate", r"^[\d()+./,;-]+$|^\p{L}\p{Ll}*$", UNNAMED, 0.0),
 )
 COMMON = "the|and|tion|ing|ent|der|die|und|que|les|ment|con|para|ung|test|data|name|user|file|page"
 CORE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: An assigned value, else a run of characters of keys.
+PAD = r"(?:={1,2}(?![\w+/-]))?"
+RUN = rf"""(?<=[=:]["'`]?)[^{SPACE}"'`<>(){{}}\[\],;&=:]+{PAD}|[A-Za-z0-9+/_-]+{PAD}"""
 FEATURES = ("length", "changes", "digits", "upper", "hex", "dictionary", "path", "assigned", "hint_before", "plain_before", "plain_after")
 
 
+def _shifted(name: str, by: int) -> Column:
+    """The array with, at each place, what is ``by`` places on; one pass, however long it is."""
+    if by < 0:
+        return F.concat(F.array(*[F.lit("")] * -by), name)
+    return F.slice(name, by + 1, F.greatest(F.size(name) - by, F.lit(0)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per candidate: doc_id, word_index, candidate, word, the words around it."""
+    """One row per candidate: doc_id, word_index, place in the word, candidate, left, around, after.
+
+    ``left`` is what stands before: two words for the first run of a word, else the run before and what is between.
+    ``around`` also has the candidate and the two runs after it in the word.
+    """
     words = F.filter(F.split(F.coalesce("text", F.lit("")), rf"[{SPACE}]+"), lambda w: w != "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
-    long_words = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-        lambda x: (F.length(x["w"]) >= LEAST) & F.rlike(x["w"], F.lit(r"[0-9]")) & F.rlike(x["w"], F.lit(CORE)),
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    number = F.sequence(F.lit(0), F.size("words"))
+    spread = F.arrays_zip(
+        number.alias("i"), F.col("words").alias("w"), *(_shifted("words", k).alias(n) for n, k in (("b", -2), ("a", -1), ("after", 1)))
     )
-    rows = rows.withColumn("long_words", long_words)
-    rows = rows.where(F.size("long_words") > 0).select("doc_id", "words", F.explode("long_words").alias("x"))
-    at = F.col("x.i")
-    return rows.select(
+    long_run = lambda c: (F.length(c) >= LEAST) & F.rlike(c, F.lit("[0-9]")) & F.rlike(c, F.lit(CORE))
+    wanted = F.filter(
+        spread,
+        lambda x: x["w"].isNotNull()
+        & (
+            long_run(x["w"])
+            | F.rlike(x["w"], F.lit("[=:]."))
+            | F.rlike(x["a"], F.lit(ASSIGNED))
+            | F.rlike(F.concat_ws(" ", x["b"], x["a"], x["w"]), F.lit(HINT))
+        ),
+    )
+    rows = rows.withColumn("wanted", wanted).where(F.size("wanted") > 0).select("doc_id", F.explode("wanted").alias("x"))
+    rows = rows.select(
         "doc_id",
-        at.alias("word_index"),
+        F.col("x.i").alias("word_index"),
         F.col("x.w").alias("word"),
-        F.regexp_extract(F.col("x.w"), f"({CORE})", 1).alias("candidate"),
-        F.array_join(F.slice("words", F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3))), " ").alias("before"),
-        F.coalesce(F.get("words", at + 1), F.lit("")).alias("after"),
+        F.concat_ws(" ", "x.b", "x.a", F.lit("")).alias("before"),
+        blank(F.col("x.after")).alias("next"),
+    )
+    # The sign of an assignment that ends the word before stands before the word, so that its value is one run.
+    marked = F.when(F.rlike("before", F.lit(ASSIGNED)), F.concat(F.lit(":"), "word")).otherwise(F.col("word"))
+    rows = rows.withColumn("marked", marked)
+    rows = rows.withColumns({"runs": F.regexp_extract_all("marked", F.lit(RUN), F.lit(0)), "gaps": F.split("marked", RUN)})
+    steps = (("r0", "runs", -1), ("g0", "gaps", 0), ("r1", "runs", 0), ("g1", "gaps", 1), ("r2", "runs", 1), ("g2", "gaps", 2), ("r3", "runs", 2))
+    places = F.sequence(F.lit(0), F.size("runs")).alias("place")
+    zipped = F.arrays_zip(places, *(_shifted(column, by).alias(name) for name, column, by in steps))
+    rows = rows.select("doc_id", "word_index", "before", "next", F.size("runs").alias("n"), F.explode(zipped).alias("x"))
+    rows = rows.where("x.r1 is not null").select(
+        "doc_id",
+        "word_index",
+        F.col("x.place").alias("place"),
+        F.col("x.r1").alias("candidate"),
+        F.when(F.col("x.place") == 0, F.concat("before", F.regexp_replace("x.g0", "^:", "")))
+        .otherwise(F.concat("x.r0", "x.g0"))
+        .alias("left"),
+        F.concat(*(blank(F.col(f"x.{name}")) for name, _, _ in steps)).alias("around"),
+        F.when(F.col("x.place") == F.col("n") - 1, F.col("next")).otherwise("").alias("after"),
     )
+    led = F.rlike("left", F.lit(ASSIGNED)) | F.rlike("left", F.lit(HINT))
+    return rows.where(long_run(F.col("candidate")) | led)
 
 
 def _share(pattern: str) -> Column:
@@ -78,10 +132,10 @@ def featured(rows: DataFrame) -> DataFrame:
             "upper": _share("[A-Z]"),
             "hex": flag(F.rlike("candidate", F.lit("^[0-9a-fA-F]+$"))),
             "dictionary": 1 - left / F.length("candidate"),
-            "path": F.regexp_count("word", F.lit(r"[/\\.]")).cast("double"),
-            "assigned": flag(F.rlike("word", F.lit("[=:]")) | F.rlike("before", F.lit("[=:]$"))),
-            "hint_before": flag(F.rlike(F.concat_ws(" ", "before", "word"), F.lit("(?i)pass|token|secret|key|auth|cred"))),
-            "plain_before": flag(F.rlike("before", F.lit(r"(^|\s)\p{L}+[.,]?$"))),
+            "path": F.regexp_count("around", F.lit(r"[/\\.]")).cast("double"),
+            "assigned": flag(F.rlike("left", F.lit(ASSIGNED))),
+            "hint_before": flag(F.rlike("left", F.lit(HINT))),
+            "plain_before": flag(F.rlike("left", F.lit(r"(^|\s)\p{L}+[.,]? $"))),
             "plain_after": flag(F.rlike("after", F.lit(r"^\p{L}+[.,]?$"))),
         }
     )
@@ -90,10 +144,10 @@ def featured(rows: DataFrame) -> DataFrame:
 def labelled(rows: DataFrame) -> DataFrame:
     """Adds ``label``: 1 or 0 for labelled findings, else null."""
     label = F.lit(None).cast("double")
-    for word, before, value in reversed(LABELLED):
-        found = F.rlike("word", F.lit(word))
-        if before:
-            found = found & F.rlike("before", F.lit(before))
+    for where, form, left, value in reversed(LABELLED):
+        found = F.rlike(where, F.lit(form))
+        if left:
+            found = found & F.rlike("left", F.lit(left))
         label = F.when(found, F.lit(value)).otherwise(label)
     return rows.withColumn("label", label)
 
@@ -105,8 +159,9 @@ def scan(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0.5)
     if len(per) < 2:
         sure = F.coalesce("label", F.lit(0.0))
     else:
-        share = int(1e6 * min(1.0, train_rows / sum(per.values())) + 1)
-        chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "word_index"), F.lit(1_000_000))
+        one, zero = (int(1e6 * min(1.0, train_rows / 2 / per[k]) + 1) for k in (1.0, 0.0))
+        share = F.when(F.col("label") == 1, one).otherwise(zero)
+        chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "word_index", "place"), F.lit(1_000_000))
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         known = assemble.transform(rows.where("label is not null").where(chance < share))
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=6).fit(known.select("features", "label"))
@@ -121,7 +176,7 @@ def findings(docs: DataFrame, **options) -> DataFrame:
     found = scan(docs, **options).groupBy("doc_id").agg(
         F.count("*").alias("n_candidates"),
         F.sum(F.col("is_secret").cast("long")).alias("n_secrets"),
-        F.sort_array(F.collect_list(F.when(F.col("is_secret"), F.col("word_index")))).alias("secret_words"),
+        F.sort_array(F.collect_set(F.when(F.col("is_secret"), F.col("word_index")))).alias("secret_words"),
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     zero = F.lit(0).cast("long")
