@@ -447,3 +447,13 @@ def test_secrets_every_run(spark):
     secret = {(r.doc_id, r.candidate) for r in out if r.is_secret}
     assert {(0, token), (0, key), (3, key), (5, "p@ss!w0rd")} <= secret
     assert not [x for x in secret if x[0] >= 100]
+
+
+def test_jaccard_components_without_ids(spark):
+    """Links run through rows without id; a component without any id stays null; repeated ids join all their sets."""
+    words_ = [f"v{i}" for i in range(100)]
+    chain = [" ".join(words_ + [f"t{i}" for i in range(k)]) for k in (0, 8, 16)]  # neighbours link, the ends do not
+    rows = [(7, chain[0]), (None, chain[1]), (9, chain[2]), (None, B), (None, B + " end"), (20, C), (21, C), (21, A), (22, A + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect())
+    assert out == Counter({(7, 7): 1, (None, 7): 1, (9, 7): 1, (None, None): 2, (20, 20): 1, (21, 20): 2, (22, 20): 1})
