@@ -8,4 +8,30 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op13_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+            FROM documents),
+        d AS (
+            SELECT doc_id, text, tokens, len(tokens) AS n,
+                   CAST('0x' || h[1:8] AS BIGINT) % (len(tokens) + 1) AS k1,
+                   CAST('0x' || h[9:16] AS BIGINT) % (len(tokens) + 1) AS k2,
+                   CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4
+            FROM t),
+        c AS (
+            SELECT doc_id, n, text,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(tokens[:least(k1, k2)], '') AS p,
+                   array_to_string(tokens[least(k1, k2) + 1:greatest(k1, k2)], '') AS m,
+                   array_to_string(tokens[greatest(k1, k2) + 1:], '') AS s
+            FROM d)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM c
+    """,
 }

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from quaestor.llm import (
     chat,
     exact_dedup,
+    fill_in_middle,
     language_id,
+    license_scan,
     mixing,
     ngram_join,
     packing,
     quality_model,
     quality_rules,
     secrets,
+    token_alignment,
     warc,
 )
 from quaestor.llm.common import documents
@@ -83,3 +86,21 @@ def op8_chat_formatting(spark, d):
 @query
 def op10_warc(spark, d):
     return warc.round_trip(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@query
+def op11_license_scan(spark, d):
+    return license_scan.license_labels(documents(spark, d))
+
+
+@query
+def op12_token_alignment(spark, d):
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in (token_alignment.BYTE_TOKENIZER, token_alignment.PIECE_TOKENIZER)]
+    return token_alignment.align(documents(spark, d), *paths)
+
+
+@query
+def op13_fill_in_middle(spark, d):
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(documents(spark, d)))
