@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import stored
+from quaestor.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.where("a <> b").distinct(), "edges")
     mark = None
     while True:
-        edges = stored(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        last, edges = edges, stored(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        discard(last)
         row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if tuple(row) == mark:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

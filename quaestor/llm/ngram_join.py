@@ -1,15 +1,16 @@
 """N-gram Jaccard join with prefix trees.
 
-Within a block, the sets are stored in a trie along one order of their n-grams (most frequent first, so
-that similar sets share a long path). A set walks the trie once for all sets below: the overlap so far is
-shared along the path, and a subtree is left when the overlap plus what remains on both sides is too
+Within a block, the sets are stored in a trie along one global order of n-grams: that of their 64-bit hashes, the
+same in every trie, so equal beginnings are stored once. A set walks the trie once for all sets below: the overlap
+so far is shared along the path, and a subtree is left when the overlap plus what remains on both sides is too
 little for its shortest set. At a leaf the overlap is the exact size of the intersection.
 
 Blocks come from a pigeonhole rule, without loss. Sets that link differ in at most
-``(1-t)/(1+t) * (|x|+|y|)`` n-grams; hashed into more parts than that, at least one part is equal in both.
-Sets with an equal part share a block. A set emits the parts of its size class, and of the next class if
-a partner can lie there. If a part of a set is empty, the parts of a second and third hash are added, and
-empty parts count only in the third.
+``d = (1-t)/(1+t) * (|x|+|y|)`` n-grams; hashed into ``d + 1 + e`` parts, at least ``1 + e`` parts are equal in both.
+A set with at most ``e`` empty parts so shares a part that is not empty, and only such parts count: none depends on
+the size alone. A set with more empty parts adds the parts of a second hash, and so on until one hash leaves few empty;
+of two sets that link, the one that needs fewer hashes shares a part with the other under its last. A set emits
+the parts of its size class, and of the next class if a partner can lie there.
 
 Exact copies are one set (128-bit digest of all n-grams) from the start, represented by the number of one of
 its rows, so sets of rows without id take part too. Links are found in two rounds:
@@ -21,6 +22,10 @@ its rows, so sets of rows without id take part too. Links are found in two round
    be connected are not compared again. Blocks that overlap form a family; it is compared as a whole if that
    moves fewer sets than its blocks one by one. So no link between unconnected sets is missed.
 
+What moves is kept small: parts are emitted once per task and set and exchanged once; only texts of sets that share a
+part are fetched, compressed, by a 128-bit hash of their row; tries hash them again. ``docs`` is read several times and
+must not change in between. Stored tables are removed after their last reader.
+
 N-grams are 64-bit hashes. Null or wordless texts have no n-grams and link with nothing. Rows that repeat
 a ``doc_id`` count as one document; rows with a null ``doc_id`` are a document each, and their component is the
 smallest doc_id that their links reach, null if they reach none. ``first_documents`` takes every row as a
@@ -30,17 +35,17 @@ document, whatever its id. Its other columns are carried along; else only doc_id
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
 
-from quaestor.llm.common import stored
+from quaestor.llm.common import discard, stored
 from quaestor.llm.graph import components
 
 NGRAM = 3
@@ -50,7 +55,8 @@ THRESHOLD = (9, 10)
 TRIE_SETS = 256
 TRIE_NGRAMS = 400_000
 CLASS_RATIO = 1.5
-SEEDS = 3
+#: Sets that a task remembers, so that it does not emit the parts of a copy again.
+REMEMBERED = 200_000
 
 
 def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -95,22 +101,20 @@ def part_signatures(grams: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -
     out = []
     for k in range(own, int(np.searchsorted(bounds, reach, side="right"))):
         longest = bounds[k + 1] - 1 if k + 1 < len(bounds) else max(bounds[k] + 1, int(bounds[k] * CLASS_RATIO)) - 1
-        parts = (den - num) * 2 * longest // (den + num) + 1
-        if parts == 1:
+        differ = (den - num) * 2 * longest // (den + num)
+        if not differ:
             continue  # only equal sets link
-        for seed in range(SEEDS):
+        spare = 1 + differ // 50
+        parts = differ + 1 + spare
+        for seed in count():
             values = grams if seed == 0 else np.sort(_mixed(grams, 100 + seed))
             cuts = np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)
             starts = np.concatenate(([0], np.searchsorted(values, cuts)))
-            lengths = np.diff(np.concatenate((starts, [n])))
-            full = np.flatnonzero(lengths)
-            sums = np.zeros(parts, dtype=np.uint64)
-            sums[full] = np.add.reduceat(_mixed(values, 7), starts[full])
-            key = np.arange(parts, dtype=np.uint64) + np.uint64((k * SEEDS + seed) << 32)
-            signatures = _mixed(_mixed(key) + sums)
-            last = seed == SEEDS - 1
-            out.append(signatures if last else signatures[full])
-            if len(full) == parts:
+            full = np.flatnonzero(np.diff(np.concatenate((starts, [n]))))
+            sums = np.add.reduceat(_mixed(values, 7), starts[full])
+            key = full.astype(np.uint64) + (np.uint64(k) << np.uint64(48)) + (np.uint64(seed) << np.uint64(32))
+            out.append(_mixed(_mixed(key) + sums))
+            if parts - len(full) <= spare:
                 break
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
@@ -172,11 +176,9 @@ class Trie:
 
 def links_of(names: list, sets: list[np.ndarray], labels: list, sides: list, threshold: tuple[int, int]) -> list[tuple]:
     """A spanning set of the links between sets of different labels; with two sides, only across them."""
+    # Numbers in the order of the hashes; the sets are sorted, so their paths are too.
     grams, place = np.unique(np.concatenate(sets), return_inverse=True)
-    rank = np.empty(len(grams), dtype=np.int64)
-    rank[np.argsort(-np.bincount(place), kind="stable")] = np.arange(len(grams))
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    paths = [np.sort(p) for p in np.split(rank[place], cuts)]
+    paths = np.split(place, np.cumsum([len(s) for s in sets])[:-1])
     parent = {x: x for x in labels}
 
     def root(x):
@@ -205,41 +207,50 @@ def links_of(names: list, sets: list[np.ndarray], labels: list, sides: list, thr
 
 
 def _fingerprints(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """``docs`` with n_shingles, set_id and parts; ``row`` is a number that no other row has, once stored."""
+    """doc_id, tie, tie2, n_shingles, set_id, parts (where the task has not emitted those of the set) and ``row``.
+
+    ``row`` is a number that no other row has, once stored.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, older = set(), set()
         for batch in batches:
             sizes, digests, parts = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 grams = ngram_set(text.as_py(), n)
+                digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+                known = digest is None or digest in met or digest in older
                 sizes.append(len(grams))
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                parts.append(part_signatures(grams, threshold))
-            yield pa.record_batch(
-                [*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-                [*batch.schema.names, "n_shingles", "set_id", "parts"],
-            )
+                digests.append(digest)
+                parts.append(None if known else part_signatures(grams, threshold))
+                met.add(digest)
+                if len(met) > REMEMBERED:
+                    met, older = set(), met
+            more = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns[:3], *more], names)
 
-    kind = StructType([*docs.schema.fields])
-    kind = kind.add("n_shingles", "long").add("set_id", "binary").add("parts", ArrayType(LongType()))
-    return docs.mapInArrow(each, kind).withColumn("row", F.monotonically_increasing_id())
+    names = ["doc_id", "tie", "tie2", "n_shingles", "set_id", "parts"]
+    kind = "doc_id long, tie long, tie2 long, n_shingles long, set_id binary, parts array<long>"
+    rows = docs.select("doc_id", "tie", "tie2", "text").mapInArrow(each, kind)
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def _contents(rows: DataFrame, n: int) -> DataFrame:
-    """The n-grams of each of ``rows`` (rep, text)."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """The texts of ``rows`` (rep, text), compressed."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [ngram_set(text.as_py(), n) for text in batch.column(1)]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["rep", "n", "grams"],
-            )
+            texts = [zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], ["rep", "packed"])
 
-    return rows.mapInArrow(each, "rep long, n long, grams binary")
+    return rows.mapInArrow(each, "rep long, packed binary")
 
 
-def _linked(entries: DataFrame, contents: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return ngram_set(zlib.decompress(packed).decode("utf-8", "surrogatepass"), n)
+
+
+def _linked(entries: DataFrame, contents: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Links found in each block of ``entries`` (block, side, rep, label); blocks are of bounded size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,19 +260,18 @@ def _linked(entries: DataFrame, contents: DataFrame, threshold: tuple[int, int])
 
         found = []
         for _, group in groupby(rows(), key=lambda r: r[0]):
-            members = {(rep, grams): (label, side) for _, side, rep, label, grams in group}
-            labels, sides = zip(*members.values(), strict=True)
+            members = {rep: (label, side, packed) for _, side, rep, label, packed in group}
+            labels, sides, texts = zip(*members.values(), strict=True)
             if len(set(labels)) > 1:
-                names = [rep for rep, _ in members]
-                sets = [np.frombuffer(grams, dtype=np.uint64) for _, grams in members]
-                found += links_of(names, sets, labels, sides, threshold)
+                sets = [_unpacked(packed, n) for packed in texts]
+                found += links_of(list(members), sets, labels, sides, threshold)
             if len(found) > 10_000:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
                 found = []
         if found:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    rows = entries.join(contents, "rep").select("block", "side", "rep", "label", "grams")
+    rows = entries.join(contents, "rep").select("block", "side", "rep", "label", "packed")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(each, "a long, b long")
 
 
@@ -346,39 +356,60 @@ def _all_chunks(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataF
     return rows.join(one.union(two), ["part", "chunk"]).select("block", "side", "rep", "label")
 
 
-def _labels(shared: DataFrame, sizes: DataFrame, contents: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _labels(shared: DataFrame, sizes: DataFrame, contents: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(rep, label) of all linked sets."""
     entries, tried = _best_blocks(shared, sizes)
-    links = stored(_linked(entries, contents, threshold), "links")
+    links = stored(_linked(entries, contents, n, threshold), "links")
     labels = stored(components(links).toDF("rep", "label"), "labels")
     open_ = stored(_still_open(shared, tried, labels), "open")
-    if open_.isEmpty():
-        return labels
-    more = stored(_linked(_all_chunks(open_, sizes, labels), contents, threshold), "links")
-    return labels if more.isEmpty() else components(links.union(more)).toDF("rep", "label")
-
-
-def _components(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Two tables: ``docs`` with their fingerprints; and set_id, label (equal for linked sets) and ``best``.
-
-    ``best`` is the first row of the set: the one with the smallest doc_id, then by a hash of all columns.
-    """
+    if not open_.isEmpty():
+        more = stored(_linked(_all_chunks(open_, sizes, labels), contents, n, threshold), "links")
+        if not more.isEmpty():
+            first, labels = labels, stored(components(links.union(more)).toDF("rep", "label"), "labels")
+            discard(first)
+        discard(more)
+    discard(links, open_)
+    return labels
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit hash of all columns, in two parts: equal for equal rows only."""
     text = F.col("text").cast("string").alias("text")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *others)
-    docs = docs.withColumn("tie", F.xxhash64(*docs.columns))
-    prints = stored(_fingerprints(docs, n, threshold), "prints")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tie", "row")).alias("best")
-    sets = stored(prints.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("rep"), best), "sets")
-    firsts = prints.join(sets.select("rep"), prints.row == F.col("rep"), "left_semi")
-    postings = firsts.select(F.col("row").alias("rep"), F.explode("parts").alias("part"))
-    sharers = postings.groupBy("part").agg(F.count("*").alias("sharers")).where("sharers > 1")
-    shared = stored(postings.join(sharers, "part").select("part", "rep", "sharers"), "shared")
-    wanted = shared.select("rep").distinct()
-    texts = prints.select(F.col("row").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    contents = stored(_contents(texts, n), "contents")
-    labels = _labels(shared, contents.select("rep", "n"), contents, threshold)
-    return prints, sets.join(labels, "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"), "best")
+    # A null is told from a value by its place.
+    absent = F.array(*[F.col(c).isNull() for c in docs.columns])
+    return docs.withColumns({"tie": F.xxhash64(*docs.columns, absent), "tie2": F.xxhash64(F.lit(2), absent, *docs.columns)})
+
+
+def _components(keyed: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Two tables: the rows (doc_id, tie, tie2, n_shingles, set_id, row); and set_id, label (equal for linked
+    sets) and ``best``, the first row of the set: the one with the smallest doc_id, then by its hash.
+    """
+    prints = stored(_fingerprints(keyed, n, threshold), "prints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tie", "tie2", "row")).alias("best")
+    sets = prints.where("set_id is not null").groupBy("set_id").agg(best, F.max("n_shingles").alias("n"))
+    sets = stored(sets.withColumn("rep", F.col("best.row")), "sets")
+    emitting = prints.where("parts is not null")
+    reps = stored(emitting.join(sets.select("set_id", "rep"), "set_id").select("row", "rep"), "reps")
+    postings = emitting.select("row", "parts").join(reps, "row").select("rep", F.explode("parts").alias("part"))
+    # Parts of two sets at least, told by two numbers per part, so that a part of very many sets is combined before it moves.
+    several = postings.groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    several = stored(several.where("low < high").select("part"), "several")
+    sharing = stored(postings.join(several, "part").select("part", "rep").distinct(), "sharing")
+    sharers = sharing.groupBy("part").agg(F.count(F.lit(1)).alias("sharers"))
+    shared = stored(sharing.join(sharers, "part"), "shared")
+    rows = stored(prints.drop("parts"), "rows")
+    discard(prints, reps, several, sharing)
+    ties = F.col("best.tie").alias("w_tie"), F.col("best.tie2").alias("w_tie2")
+    wanted = stored(shared.select("rep").distinct().join(sets.select("rep", *ties), "rep"), "wanted")
+    own = (keyed.tie == wanted.w_tie) & (keyed.tie2 == wanted.w_tie2)
+    contents = stored(_packed(keyed.join(wanted, own).select("rep", "text")), "contents")
+    labels = _labels(shared, sets.select("rep", "n"), contents, n, threshold)
+    labelled = sets.join(labels, "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"), "best")
+    labelled = stored(labelled, "labelled")
+    discard(shared, wanted, contents, labels, sets)
+    return rows, labelled
 
 
 def _same_ids(prints: DataFrame, sets: DataFrame) -> DataFrame:
@@ -388,7 +419,6 @@ def _same_ids(prints: DataFrame, sets: DataFrame) -> DataFrame:
     again = stored(rows.join(again, "doc_id", "left_semi").distinct(), "again")
     if again.isEmpty():
         return sets
-    sets = stored(sets, "labelled")
     ends = again.join(sets, "set_id").select("doc_id", "label").distinct()
     least = ends.groupBy("doc_id").agg(F.min("label").alias("least"))
     edges = ends.join(least, "doc_id").where("label > least").select(F.col("label").alias("a"), F.col("least").alias("b"))
@@ -398,7 +428,7 @@ def _same_ids(prints: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) per row of ``docs``."""
-    prints, sets = _components(docs.select("doc_id", "text"), n, threshold)
+    prints, sets = _components(_keyed(docs.select("doc_id", "text")), n, threshold)
     sets = _same_ids(prints, sets)
     least = sets.groupBy("label").agg(F.min("best.doc_id").alias("component_id"))
     known = sets.join(least, "label").select("set_id", "component_id")
@@ -410,9 +440,19 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, in
 def first_documents(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those linked to a row that stays: of each component the first row, by doc_id.
 
-    Every row is a document of its own, also if its doc_id is null or repeated.
+    Every row is a document of its own, also if its doc_id is null or repeated. Of fully equal rows with words one stays.
     """
-    prints, sets = _components(docs, n, threshold)
+    keyed = _keyed(docs)
+    rows, sets = _components(keyed, n, threshold)
     first = sets.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("kept_row"))
-    rows = prints.join(first, prints.row == first.kept_row, "left")
-    return rows.where("set_id is null or kept_row is not null").select(*docs.columns)
+    judged = rows.where("set_id is not null").join(first, F.col("row") == F.col("kept_row"), "left")
+    ties = judged.groupBy("tie", "tie2").agg(F.count("kept_row").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    ties = stored(ties.where("kept < rows"), "dropped")
+    discard(rows, sets)
+    # Rows all of whose equals go, then equal rows of which one stays.
+    out = keyed.join(ties.select("tie", "tie2"), ["tie", "tie2"], "left_anti").select(*docs.columns)
+    some = ties.where("kept > 0").select("tie", "tie2")
+    if some.isEmpty():
+        return out
+    one = keyed.join(some, ["tie", "tie2"], "left_semi").dropDuplicates(["tie", "tie2"])
+    return out.unionByName(one.select(*docs.columns))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,13 +13,16 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quaestor.llm import (
     chat,
     exact_dedup,
+    fill_in_middle,
     language_id,
+    license_scan,
     mixing,
     ngram_join,
     packing,
@@ -24,6 +30,7 @@ from quaestor.llm import (
     quality_model,
     quality_rules,
     secrets,
+    token_alignment,
     warc,
 )
 from quaestor.llm.linear import trigram_vector
@@ -181,6 +188,23 @@ def test_part_signatures_lose_no_link():
             assert set(ngram_join.part_signatures(x)) & set(ngram_join.part_signatures(y))
 
 
+@pytest.mark.parametrize("n", [5_000, 20_000])
+def test_part_signatures_of_long_sets(n):
+    """Long sets keep all links, and unrelated ones share nothing: no signature depends on the size alone."""
+    rng = np.random.default_rng(n)
+    met = set()
+    for _ in range(6):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        own = set(ngram_join.part_signatures(x).tolist())
+        assert not own & met
+        met |= own
+        for changed in (n // 100, n // 40, n // 22):
+            y = np.unique(np.concatenate([x[changed:], rng.integers(0, 2**63, changed).astype(np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 10 * both >= 9 * (len(x) + len(y) - both):
+                assert own & set(ngram_join.part_signatures(y).tolist())
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_packing(request, table):
     df = request.getfixturevalue(table)
@@ -457,3 +481,175 @@ def test_jaccard_components_without_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = Counter((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect())
     assert out == Counter({(7, 7): 1, (None, 7): 1, (9, 7): 1, (None, None): 2, (20, 20): 1, (21, 20): 2, (22, 20): 1})
+
+
+def test_first_documents_of_equal_rows(spark):
+    """Of fully equal rows one stays, rows without words all stay, whatever their ids."""
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))
+    other = "some other text of a few words"
+    rows = [(1, a), (1, a), (2, b), (None, other), (None, other), (7, ""), (7, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((r.doc_id, r.text) for r in ngram_join.first_documents(df).collect())
+    assert out == Counter([(1, a), (None, other), (7, ""), (7, ""), (None, None)])
+
+
+def test_fill_in_middle(spark):
+    rows = [(i, t) for i, t in enumerate(["", None, "a", "é", "ab  cd\n1", "x<P>y", "<S", "word " * 3_000, "😀b" * 50, "<P", "S>" * 9])]
+    rows += [(i, f"Some words, {i} of them: über\tall\n" * (i % 7 + 1)) for i in range(20, 120)]
+    rows += [(None, "no id at all"), (5, "again five"), (5, "again five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("form", F.lit("clash"))
+    out = fill_in_middle.fill_in_middle(df)
+    got = out.withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for doc_id, text in rows:
+        text = text or ""
+        tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+        digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+        h = [int(digest[k : k + 8], 16) for k in (0, 8, 16, 24)]
+        low, high = sorted(x % (len(tokens) + 1) for x in h[:2])
+        p, m, s = ("".join(t) for t in (tokens[:low], tokens[low:high], tokens[high:]))
+        if not text or h[2] % 100 >= 90 or any(x in text for x in ("<P>", "<S>", "<M>")):
+            want[(doc_id, len(tokens), "plain", None, None, text, text)] += 1
+        elif h[3] % 100 < 20:
+            want[(doc_id, len(tokens), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}", text)] += 1
+        else:
+            want[(doc_id, len(tokens), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}", text)] += 1
+    names = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "back")
+    assert Counter(tuple(r[c] for c in names) for r in got) == want
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+    assert fill_in_middle.digests(fill_in_middle.fill_in_middle(df.limit(0))).count() == 0
+
+
+def test_wavelet_ranks():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 8, 511, 512, 513, 5_000):
+        symbols = rng.integers(0, 4, n).astype(np.uint8)
+        matrix = fill_in_middle.WaveletMatrix(symbols, 2)
+        for at in {0, n, *rng.integers(0, n + 1, 20).tolist()}:
+            assert [matrix.rank(c, at) for c in range(4)] == [int((symbols[:at] == c).sum()) for c in range(4)]
+
+
+ALIGN_NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def brute_alignment(rows):
+    """Groups by comparing every end with every other tokenizer's ends; the corpus counts in one counter."""
+    one = Tokenizer.from_file(public_tokenizers.path(token_alignment.BYTE_TOKENIZER))
+    one.encode_special_tokens = True
+    two = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_alignment.PIECE_TOKENIZER))
+    shown = token_alignment.byte_alphabet()
+    bytes_a = {i: bytes(shown[c] for c in t) for t, i in one.get_vocab().items() if t != "<|endoftext|>"}
+    texts = []
+    for doc_id, text in rows:
+        a = one.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = two.encode(text) if text else []
+        pieces = [two.id_to_piece(i) for i in b]
+        raw_b = [bytes([int(p[3:5], 16)]) if two.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(b, pieces, strict=True)]
+        raw_a = [bytes_a[i] for i in a]
+        if not text or {b"".join(raw_a), b"".join(raw_b)} != {(" " + text).encode()}:
+            texts.append((doc_id, [], [], [], []))
+            continue
+        ends = [list(itertools.accumulate(map(len, raw))) for raw in (raw_a, raw_b)]
+        texts.append((doc_id, a, b, *ends))
+    counts = Counter()
+    for _, a, b, ends_a, ends_b in texts:
+        counts.update((x, y) for x, e in zip(a, ends_a, strict=True) for y, f in zip(b, ends_b, strict=True) if e == f)
+    out = Counter()
+    for doc_id, a, b, ends_a, ends_b in texts:
+        links = [(x, y) for x, e in zip(a, ends_a, strict=True) for y, f in zip(b, ends_b, strict=True) if e == f]
+        cuts = [e for e in ends_a if e in ends_b]
+        groups = []
+        for low, high in zip([0, *cuts], cuts, strict=False):
+            inside = [",".join(str(x) for x, e in zip(ids, ends, strict=True) if low < e <= high) for ids, ends in ((a, ends_a), (b, ends_b))]
+            groups.append("|".join(inside))
+        top = sum(counts[x] == max(n for p, n in counts.items() if p[1] == x[1]) for x in links)
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+        out[(doc_id, len(a), len(b), len(groups), len(links), top, sum(counts[x] for x in links), digest)] += 1
+    return out
+
+
+@pytest.mark.parametrize("block_links", [1, 40, 500_000])
+def test_token_alignment(spark, block_links):
+    texts = ["", None, "a", "Hello, world!", "two  blanks\n\nlines", "▁odd", "naïve café 😀 日本語", "<s></s><|endoftext|>", " " * 9, "the cat " * 40]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the cat sat"), (3, "the cat sat"), (3, "the cat sat")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"block": F.lit(1), "pairs": F.lit("x")})
+    paths = [public_tokenizers.path(name) for name in (token_alignment.BYTE_TOKENIZER, token_alignment.PIECE_TOKENIZER)]
+    out = token_alignment.align(df, *paths, block_links=block_links)
+    assert Counter(tuple(r[c] for c in ALIGN_NAMES) for r in out.collect()) == brute_alignment(rows)
+    assert token_alignment.align(df.limit(0), *paths).count() == 0
+    groups = {r.doc_id: r.groups for r in token_alignment.token_groups(df.where("doc_id in (3, 9)"), *paths).collect()}
+    assert sum(len(g.a) for g in groups[9]) == 41 or len(groups[9]) > 1
+
+
+def test_byte_encoder_equals_the_tokenizer():
+    """The encoder built from the vocabulary gives the tokenizer's ids, over all kinds of characters."""
+    paths = [public_tokenizers.path(name) for name in (token_alignment.BYTE_TOKENIZER, token_alignment.PIECE_TOKENIZER)]
+    words = token_alignment.Vocabularies(*paths)
+    one = Tokenizer.from_file(paths[0])
+    one.encode_special_tokens = True
+    rng = random.Random(1)
+    for first in range(0, 0x110000, 64):
+        points = [c for c in range(first, first + 64) if not 0xD800 <= c < 0xE000]
+        text = "".join(f" a{chr(c)}1{chr(c)}{' ' * rng.randrange(3)}" for c in points)
+        assert words.a.encode_ordinary(text) == one.encode(text, add_special_tokens=False).ids
+
+
+def brute_licences(rows):
+    """Every template tried at every place of every text; weights from counts over all rows."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans(license_scan.UPPER, license_scan.LOWER)
+    texts = [(doc_id, word.findall((text or "").translate(lower))) for doc_id, text in rows]
+    vocabulary = {w for _, t, _ in license_scan.TEMPLATES for w in t.split()}
+    frequency = {w: sum(w in words for _, words in texts) for w in vocabulary}
+    weight = {w: round(1000 * (1 + math.log((1 + len(texts)) / (1 + n)))) for w, n in frequency.items()}
+    out = Counter()
+    for doc_id, words in texts:
+        base, labels, best = [], set(), 0.0
+        for phrase, label in license_scan.BASE:
+            parts = phrase.split()
+            base += [(i, label) for i in range(len(words)) if words[i : i + len(parts)] == parts]
+        for label, template, phrases in license_scan.TEMPLATES:
+            parts = template.split()
+            rare = set(sorted(set(parts), key=lambda w: (-weight[w], w))[: license_scan.RARE])
+            needed = set()
+            for phrase in phrases.split("|"):
+                at = template.split(phrase)[0].split()
+                needed |= set(range(len(at), len(at) + len(phrase.split())))
+            held = [i for i, w in enumerate(parts) if w in rare or i in needed]
+            total = sum(weight[parts[i]] for i in held)
+            for start in range(-len(parts), len(words)):
+                agree = [i for i in held if 0 <= start + i < len(words) and words[start + i] == parts[i]]
+                score = sum(weight[parts[i]] for i in agree) / total
+                if needed <= set(agree) and score >= license_scan.SHARE:
+                    labels.add(label)
+                    best = max(best, score)
+        places = [i for i, _ in base]
+        names = {label for _, label in base}
+        ends = (min(places), max(places)) if places else (None, None)
+        out[(doc_id, len(words), len(base), *ends, ",".join(sorted(names)), ",".join(sorted(names | labels)), best)] += 1
+    return out
+
+
+def test_license_scan(spark):
+    texts = [
+        "", None, "...", "MIT License", "mit license mit-license, MIT LICENSE", "the mit Kicense \u212aelvin",
+        "Licensed under the Apache License, Version 2.0 (the \"License\")", "apache license general public license",
+        "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "cc by nc",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "nothing of the kind here " * 30, "x " * 5_000 + "Released under the MIT License.", "licence license", "émit license",
+        "under the terms of the GNU Lesser General Public License as published",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (4, texts[6]), (4, texts[6])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "hits": F.lit(2), "words": F.lit(3)})
+    names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    out = license_scan.license_labels(df)
+    assert out.columns == list(names)
+    assert Counter(tuple(r) for r in out.collect()) == brute_licences(rows)
+    assert license_scan.license_labels(df.limit(0)).count() == 0
+
+
+def test_license_scan_of_documents(spark, docs):
+    got = Counter(tuple(r) for r in license_scan.license_labels(docs).collect())
+    assert got == brute_licences([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
