@@ -546,4 +546,4 @@ placed AS (SELECT *, CAST(CAST(txn_date AS DATE) - CAST(b.back AS INTEGER) AS TI
 SELECT account_id, window_start, window_start + INTERVAL 7 DAY AS window_end, count(txn_id) AS txn_count,
        {_money('abs(amount)')} AS amount_sum FROM placed
 GROUP BY account_id, window_start"""
-ORACLES["stream_throttle"] = ORACLES["alert_throttle"]
+ORACLES["stream_throttle"] = ORACLES["stream_throttle_batches"] = ORACLES["alert_throttle"]

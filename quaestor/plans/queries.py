@@ -33,7 +33,7 @@ from quaestor.plans.stages import StageStore
 from quaestor.session import cut_lineage, scratch_path
 from quaestor.sources import sinks
 from quaestor.sources.feed import as_feed, events_feed, orders_feed, read_feed_csv, read_ledger, table
-from quaestor.streaming import ledger_stream
+from quaestor.streaming import ledger_stream, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -964,17 +964,30 @@ def stream_velocity(spark, d):
     return ledger_stream.newest_versions(spark, f"{path}/table", windows.schema, keys)
 
 
-@query
-def stream_throttle(spark, d):
-    """Events that arrive in three deliveries, one after the other in time."""
-    path = scratch_path(spark, "throttle")
+def _in_deliveries(spark, d, path: str, send) -> None:
+    """Alert events in three deliveries, one after the other in time; ``send`` runs after each."""
     alerts = _alerts(spark, d).drop("value")
     at = F.col("event_at")
     first, second = (F.lit(day).cast("timestamp_ntz") for day in ("2024-01-11", "2024-01-21"))
     for delivery in (at < first, (at >= first) & (at < second), at >= second):
         alerts.filter(delivery).write.mode("append").parquet(f"{path}/alerts")
-        stream = spark.readStream.schema(alerts.schema).parquet(f"{path}/alerts")
-        ledger_stream.throttle_stream(
-            stream, "event_id", f"{path}/sent", f"{path}/state", f"{path}/checkpoint", NOISY
-        ).awaitTermination()
+        send(spark.readStream.schema(alerts.schema).parquet(f"{path}/alerts")).awaitTermination()
+
+
+@query
+def stream_throttle(spark, d):
+    """The last sent time of each key is kept in the state store."""
+    path = scratch_path(spark, "throttle")
+    _in_deliveries(
+        spark, d, path, lambda s: stateful.run_throttle(s, "event_id", f"{path}/sent", f"{path}/checkpoint", NOISY)
+    )
+    return spark.read.parquet(f"{path}/sent").filter("not late").select("event_id", "event_at", "alert_id")
+
+
+@query
+def stream_throttle_batches(spark, d):
+    """Batch by batch through the batch operator, which splits keys of any size."""
+    path = scratch_path(spark, "throttle")
+    paths = (f"{path}/sent", f"{path}/state", f"{path}/checkpoint")
+    _in_deliveries(spark, d, path, lambda s: ledger_stream.throttle_stream(s, "event_id", *paths, NOISY))
     return spark.read.parquet(f"{path}/sent").select("event_id", "event_at", "alert_id")
