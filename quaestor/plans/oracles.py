@@ -147,6 +147,21 @@ ORACLES["reconciliation_by_day"] = (
 ORACLES["recon_mismatches"] = f"{_A}, {_recon('txn_date', _TAMPERED)} {_RECON_COLUMNS} WHERE abs(diff) > 0.01"
 ORACLES["recon_summary"] = f"""{_A}, {_recon('txn_date', _TAMPERED)}
 SELECT count(*) AS dates_compared, CAST(max(abs(diff)) AS DOUBLE) AS max_abs_diff FROM recon"""
+_NUMBER = "CAST(substr(txn_id, 2) AS BIGINT)"
+ORACLES["recon_offending_rows"] = f"""{_B},
+damaged AS (
+  SELECT txn_date, txn_id, amount + CASE WHEN {_NUMBER} % 89 = 4 THEN 10 ELSE 0 END AS amount FROM ledger
+  WHERE {_NUMBER} % 97 <> 1
+  UNION ALL SELECT txn_date, txn_id, amount FROM ledger WHERE {_NUMBER} % 101 = 2
+  UNION ALL SELECT txn_date, 'x' || txn_id, amount FROM ledger WHERE {_NUMBER} % 103 = 3),
+l AS (SELECT txn_date, txn_id, count(*) AS n, sum(CAST(amount AS DECIMAL(28,10))) AS total FROM ledger GROUP BY ALL),
+r AS (SELECT txn_date, txn_id, count(*) AS n, sum(CAST(amount AS DECIMAL(28,10))) AS total FROM damaged GROUP BY ALL)
+SELECT txn_date, txn_id, CASE WHEN r.n IS NULL THEN 'missing' WHEN l.n IS NULL THEN 'extra' ELSE 'changed' END AS kind,
+       coalesce(l.n, 0) AS raw_rows, coalesce(r.n, 0) AS ledger_rows,
+       CAST(l.total AS DOUBLE) AS raw_amount, CAST(r.total AS DOUBLE) AS ledger_amount
+FROM l FULL JOIN r USING (txn_date, txn_id)
+WHERE l.n IS DISTINCT FROM r.n OR l.total IS DISTINCT FROM r.total"""
+ORACLES["ledger_as_of"] = f"""{_B} SELECT {_LEDGER_LIST} FROM ledger WHERE NOT is_late"""
 _BALANCE = f"""SELECT account_id, txn_date, {_money('amount')} AS total_amount, count(txn_id) AS txn_count
 FROM ledger GROUP BY account_id, txn_date"""
 ORACLES["daily_balance"] = f"{_A} {_BALANCE}"
@@ -539,7 +554,7 @@ ORACLES["aml_job_alerts"] = ORACLES["aml_alert_numbers"].replace(
 
 ORACLES["stream_ledger"] = ORACLES["ledger"]
 ORACLES["stream_deduplicated"] = ORACLES["ledger"]
-ORACLES["stream_balances"] = ORACLES["staged_balance"]
+ORACLES["stream_balances"] = ORACLES["stream_balances_deltas"] = ORACLES["staged_balance"]
 ORACLES["stream_velocity"] = f"""{_B},
 placed AS (SELECT *, CAST(CAST(txn_date AS DATE) - CAST(b.back AS INTEGER) AS TIMESTAMP) AS window_start
            FROM ledger, (SELECT unnest(range(7)) AS back) b)

@@ -18,6 +18,7 @@ from quaestor.operators import (
     features,
     lineage,
     quality,
+    recon_tree,
     reconcile,
     rules,
     sla,
@@ -31,9 +32,9 @@ from quaestor.params import AmlParams, FeedParams, JobParams, SkewParams, TrustP
 from quaestor.plans import jobs
 from quaestor.plans.stages import StageStore
 from quaestor.session import cut_lineage, scratch_path
-from quaestor.sources import sinks
+from quaestor.sources import commits, sinks
 from quaestor.sources.feed import as_feed, events_feed, orders_feed, read_feed_csv, read_ledger, table
-from quaestor.streaming import ledger_stream, stateful
+from quaestor.streaming import balance_deltas, ledger_stream, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,6 +280,34 @@ def recon_summary(spark, d):
     return reconcile.recon_summary(_tampered(spark, d))
 
 
+def _damaged(ledger: DataFrame) -> DataFrame:
+    """A ledger that lost, repeats, invents and changes rows."""
+    number = F.substring("txn_id", 2, 18).cast("long")
+    kept = ledger.filter(number % 97 != 1)
+    repeated = ledger.filter(number % 101 == 2)
+    invented = ledger.filter(number % 103 == 3).withColumn("txn_id", F.concat(F.lit("x"), "txn_id"))
+    altered = F.when(number % 89 == 4, F.col("amount") + 10).otherwise(F.col("amount"))
+    return kept.withColumn("amount", altered).unionByName(repeated).unionByName(invented)
+
+
+@query
+def recon_offending_rows(spark, d):
+    """The transactions that are missing, extra or changed, found through differing digests."""
+    clean = _clean_b(spark, d)
+    bad = recon_tree.offending_rows(clean, _damaged(transform.ledger_of(clean)))
+    return _doubles(bad, "raw_amount", "ledger_amount")
+
+
+@query
+def ledger_as_of(spark, d):
+    """The first version of a ledger table that was replaced by a second one and appended to by a third."""
+    path, full = scratch_path(spark, "versions"), _ledger_b(spark, d)
+    first = sinks.commit_ledger(full.filter("NOT is_late"), path, None)
+    second = sinks.commit_ledger(full.filter("amount > 0"), path, first)
+    commits.commit(full.filter("amount <= 0"), path, second, append=True)
+    return commits.read(spark, path, first.version)
+
+
 # --- Balances and quality -----------------------------------------------------------------------
 
 
@@ -954,6 +983,21 @@ def stream_balances(spark, d):
     return spark.read.parquet(f"{path}/balance").drop("txn_day")
 
 
+@query
+def stream_balances_deltas(spark, d):
+    """The same deliveries, five files a batch; sums of batches are added, and days are compacted."""
+    path = scratch_path(spark, "deltas")
+    feed = events_feed(spark, d)
+    text = feed.select(*[F.col(c).cast("string").alias(c) for c in feed.columns])
+    early = F.col("txn_type").isin("CARD", "TRANSFER")
+    for delivery in (early, ~early):
+        dealt = text.filter(delivery).repartition(15, "txn_id")
+        dealt.write.mode("append").option("header", True).csv(f"{path}/feed")
+        kept = ledger_stream.stream_ledger(ledger_stream.stream_feed(spark, f"{path}/feed", max_files=5))
+        balance_deltas.run_balance_deltas(kept, f"{path}/balance", f"{path}/checkpoint").awaitTermination()
+    return balance_deltas.balances(spark, f"{path}/balance")
+
+
 @query
 def stream_velocity(spark, d):
     """All windows, those too that later rows may still change."""

@@ -48,3 +48,45 @@ def listing(spark: SparkSession, path: str) -> list[str]:
 def last_modified_ms(spark: SparkSession, path: str) -> int:
     """Newest modification time below ``path`` in milliseconds since 1970."""
     return max((int(entry.rsplit("|", 1)[1]) for entry in listing(spark, path)), default=0)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below ``path``; none if it does not exist."""
+    fs, p = _resolve(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file; fails if it exists."""
+    fs, p = _resolve(spark, path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """All of a small file."""
+    fs, p = _resolve(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename, unless the target exists; only one of several writers succeeds on a file system with atomic renames."""
+    jvm = spark._jvm
+    _, src = _resolve(spark, source)
+    fs, dst = _resolve(spark, target)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(src, dst, options)
+    except Exception:
+        if fs.exists(dst):
+            return False
+        raise
+    return True

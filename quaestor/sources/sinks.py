@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.operators.validate import validate_ledger_ids
-from quaestor.sources import fs
+from quaestor.sources import commits, fs
 
 
 def replace_parquet(df: DataFrame, path: str, compression: str = "snappy") -> str:
@@ -36,6 +36,12 @@ def write_ledger(ledger: DataFrame, path: str, compression: str = "snappy") -> s
     return replace_parquet(ledger, path, compression)
 
 
+def commit_ledger(ledger: DataFrame, path: str, base: commits.Manifest | None) -> commits.Manifest:
+    """Check the ids, then commit the ledger as the version after ``base`` of a table with a commit log."""
+    validate_ledger_ids(ledger)
+    return commits.commit(ledger, path, base)
+
+
 def write_daily_balance(balance: DataFrame, path: str) -> str:
     """Replace the balance table, in total order by account and date."""
     return replace_parquet(balance.orderBy("account_id", "txn_date"), path)
