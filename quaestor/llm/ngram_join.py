@@ -236,14 +236,14 @@ def _fingerprints(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFr
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """The texts of ``rows`` (rep, text), compressed."""
+    """``rows`` (tie, tie2, text) with the text compressed, so that little moves."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], ["rep", "packed"])
+            texts = [zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in batch.column(2)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(texts, pa.binary())], ["tie", "tie2", "packed"])
 
-    return rows.mapInArrow(each, "rep long, packed binary")
+    return rows.mapInArrow(each, "tie long, tie2 long, packed binary")
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
@@ -403,8 +403,9 @@ def _components(keyed: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[D
     discard(prints, reps, several, sharing)
     ties = F.col("best.tie").alias("w_tie"), F.col("best.tie2").alias("w_tie2")
     wanted = stored(shared.select("rep").distinct().join(sets.select("rep", *ties), "rep"), "wanted")
-    own = (keyed.tie == wanted.w_tie) & (keyed.tie2 == wanted.w_tie2)
-    contents = stored(_packed(keyed.join(wanted, own).select("rep", "text")), "contents")
+    packed = _packed(keyed.select("tie", "tie2", "text"))
+    own = (F.col("tie") == F.col("w_tie")) & (F.col("tie2") == F.col("w_tie2"))
+    contents = stored(packed.join(wanted, own).select("rep", "packed"), "contents")
     labels = _labels(shared, sets.select("rep", "n"), contents, n, threshold)
     labelled = sets.join(labels, "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"), "best")
     labelled = stored(labelled, "labelled")
