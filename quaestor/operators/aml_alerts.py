@@ -113,6 +113,18 @@ def with_ids(numbered: DataFrame, hits: DataFrame, part_ids: int = PART_IDS) ->
     return numbered.join(id_parts(hits, part_ids), list(KEY), "left").select(*C.AML_ALERT_COLUMNS, "ids_part")
 
 
+def whole_alerts(numbered: DataFrame, hits: DataFrame, part_ids: int = PART_IDS) -> DataFrame:
+    """The twelve alert columns, one row per alert.
+
+    The ids are null for alerts of more than ``part_ids``, whose list could be of any length: :func:`with_ids` has
+    them in parts, :func:`alert_transactions` one by one.
+    """
+    listed = with_ids(numbered, hits, part_ids).filter(F.col("triggering_txn_count") <= part_ids).drop("ids_part")
+    rest = numbered.filter(F.col("triggering_txn_count") > part_ids)
+    rest = rest.withColumn("triggering_txn_ids", F.lit(None).cast("array<string>"))
+    return listed.unionByName(rest.select(*C.AML_ALERT_COLUMNS))
+
+
 def generate_alerts(hits: DataFrame, run_time: datetime, part_ids: int = PART_IDS) -> DataFrame:
     """:func:`with_ids` of the alerts numbered at ``run_time``.
 

@@ -195,14 +195,16 @@ def run_aml_job(
 ) -> dict:
     """Ledger -> scored transactions and alerts under ``out``; returns paths and metrics.
 
-    Alerts are derived from the written scored table, so the windows run once. The table
-    ``aml_alert_transactions`` lists every transaction of every alert with its ``alert_id``.
+    Alerts are derived from the written scored table, so the windows run once; the alert table has one row per
+    alert. ``aml_alert_ids`` has the ids of each alert in parts of bounded length, and ``aml_alert_transactions``
+    lists every transaction of every alert with its ``alert_id``.
     """
     if not params.enabled:
         return {"status": "disabled"}
     out = out.rstrip("/")
     scored_path = f"{out}/aml_scored_transactions.parquet"
     alerts_path = f"{out}/aml_alerts.parquet"
+    parts_path = f"{out}/aml_alert_ids.parquet"
     members_path = f"{out}/aml_alert_transactions.parquet"
     ledger = read_ledger(spark, ledger_path)
     try:
@@ -213,7 +215,9 @@ def run_aml_job(
         scored = spark.read.parquet(scored_path)
         hits = aml_alerts.triggered(scored)
         numbered = cut_lineage(aml_alerts.numbered_alerts(hits, run_time or _now()))
-        sinks.write_aml_alerts(aml_alerts.with_ids(numbered, hits), alerts_path)
+        sinks.write_aml_alerts(aml_alerts.whole_alerts(numbered, hits), alerts_path)
+        parts = aml_alerts.with_ids(numbered, hits).select("alert_id", "ids_part", "triggering_txn_ids")
+        sinks.write_aml_alerts(parts, parts_path)
         sinks.replace_parquet(aml_alerts.alert_transactions(hits, numbered), members_path)
         metrics = aml_metrics(scored).first().asDict()
         metrics["alerts_generated"] = numbered.count()
@@ -223,6 +227,7 @@ def run_aml_job(
         "status": "success",
         "scored_transactions_path": scored_path,
         "alerts_path": alerts_path,
+        "alert_ids_path": parts_path,
         "alert_transactions_path": members_path,
         "alert_count": metrics["alerts_generated"],
         "high_risk_count": metrics["high_severity"],

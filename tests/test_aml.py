@@ -196,3 +196,15 @@ def test_alerts_are_unique_per_key_and_scores_bounded(ledger_rows):
     assert out.filter("risk_score < 0 OR risk_score > 100").count() == 0
     alerts = aml_alerts.alert_totals(aml_alerts.triggered(out))
     assert alerts.count() == alerts.select(*aml_alerts.KEY).distinct().count() > 0
+
+
+def test_whole_alerts_have_one_row_each(scored):
+    hits = aml_alerts.triggered(scored)
+    numbered = aml_alerts.numbered_alerts(hits, datetime(2024, 3, 1))
+    counts = {r.alert_id: r.triggering_txn_count for r in numbered.collect()}
+    for limit in (1, 2, 10_000):
+        rows = aml_alerts.whole_alerts(numbered, hits, limit).collect()
+        assert tuple(rows[0].asDict()) == tuple(C.AML_ALERT_COLUMNS)
+        assert sorted(r.alert_id for r in rows) == sorted(counts)
+        for r in rows:
+            assert len(r.triggering_txn_ids or ()) == (counts[r.alert_id] if counts[r.alert_id] <= limit else 0)

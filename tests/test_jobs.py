@@ -133,7 +133,9 @@ def test_aml_job(spark, ledger_rows, tmp_path):
     scored = spark.read.parquet(result["scored_transactions_path"])
     assert scored.count() == 10 and {"risk_score", "severity", "txn_count_30d"} <= set(scored.columns)
     alerts = spark.read.parquet(result["alerts_path"])
-    assert alerts.columns == [*C.AML_ALERT_COLUMNS, "ids_part"]
+    assert alerts.columns == list(C.AML_ALERT_COLUMNS)
+    parts = spark.read.parquet(result["alert_ids_path"])
+    assert collect(parts, "ids_part", "triggering_txn_ids") == [(0, "t2,t3"), (0, "t4"), (0, "t4,t5")]
     assert collect(alerts, "rule_id", "triggering_txn_ids") == [
         ("round_number", "t4"), ("structuring", "t2,t3"), ("velocity_7d_amount", "t4,t5"),
     ]
