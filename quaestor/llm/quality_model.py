@@ -73,8 +73,11 @@ def score(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     total = sum(r["count"] for r in found)
     table = rows.sparkSession.createDataFrame(list(posterior.items()), "votes string, weak_label double")
     labelled = rows.join(F.broadcast(table), "votes")
-    chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(2)), F.lit(1_000_000))
-    x, y = vectors(labelled.where(chance < int(1e6 * min(1.0, train_docs / max(total, 1)) + 1)), "weak_label", "double")
+    # By id and text, so that rows without id are drawn one by one; never more than ``train_docs`` rows.
+    chance = F.pmod(F.xxhash64(F.lit(2), F.col("doc_id").isNull(), "doc_id", "text"), F.lit(1_000_000))
+    drawn = labelled.where(chance < int(1e6 * min(1.0, train_docs / max(total, 1)) + 1))
+    drawn = drawn.orderBy(F.xxhash64("text", "doc_id")).limit(train_docs)
+    x, y = vectors(drawn, "weak_label", "double")
     y = np.array(y, dtype=float)
     sides = [(y > 0.5).sum(), (y <= 0.5).sum()]
     weights = np.zeros((1 << 12) + 1)

@@ -10,7 +10,8 @@ forest is trained from labelled findings: rows of ``LABELLED``, whose form alone
 and assigned credentials, against numbers, dates, addresses and placeholders). At most ``TRAIN_ROWS``
 labelled candidates, drawn by a hash, are used; the features do not include these forms themselves.
 
-A null or empty text has no candidates. If the labelled findings have one class only, or there are none, a
+Rows are told apart by a 128-bit hash of doc_id and text, so rows without id or with one id are scanned each on its own;
+rows equal in both have one set of findings, which each of them gets. A null or empty text has no candidates. If the labelled findings have one class only, or there are none, a
 candidate's probability is its label, else 0. Each class gives half of the ``TRAIN_ROWS`` at most. Other
 columns are not read.
 """
@@ -62,14 +63,22 @@ def _shifted(name: str, by: int) -> Column:
     return F.slice(name, by + 1, F.greatest(F.size(name) - by, F.lit(0)))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of both, in two parts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    both = F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")
+    return rows.withColumns({"tie": F.xxhash64(*both), "tie2": F.xxhash64(F.lit(6), *both)})
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per candidate: doc_id, word_index, place in the word, candidate, left, around, after.
+    """One row per candidate: doc_id, tie, tie2, word_index, place in the word, candidate, left, around, after.
 
     ``left`` is what stands before: two words for the first run of a word, else the run before and what is between.
     ``around`` also has the candidate and the two runs after it in the word.
     """
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), rf"[{SPACE}]+"), lambda w: w != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    words = F.filter(F.split("text", rf"[{SPACE}]+"), lambda w: w != "")
+    own = ("doc_id", "tie", "tie2")
+    rows = _keyed(docs).select(*own, words.alias("words"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     number = F.sequence(F.lit(0), F.size("words"))
     spread = F.arrays_zip(
@@ -86,9 +95,9 @@ def candidates(docs: DataFrame) -> DataFrame:
             | F.rlike(F.concat_ws(" ", x["b"], x["a"], x["w"]), F.lit(HINT))
         ),
     )
-    rows = rows.withColumn("wanted", wanted).where(F.size("wanted") > 0).select("doc_id", F.explode("wanted").alias("x"))
+    rows = rows.withColumn("wanted", wanted).where(F.size("wanted") > 0).select(*own, F.explode("wanted").alias("x"))
     rows = rows.select(
-        "doc_id",
+        *own,
         F.col("x.i").alias("word_index"),
         F.col("x.w").alias("word"),
         F.concat_ws(" ", "x.b", "x.a", F.lit("")).alias("before"),
@@ -101,9 +110,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     steps = (("r0", "runs", -1), ("g0", "gaps", 0), ("r1", "runs", 0), ("g1", "gaps", 1), ("r2", "runs", 1), ("g2", "gaps", 2), ("r3", "runs", 2))
     places = F.sequence(F.lit(0), F.size("runs")).alias("place")
     zipped = F.arrays_zip(places, *(_shifted(column, by).alias(name) for name, column, by in steps))
-    rows = rows.select("doc_id", "word_index", "before", "next", F.size("runs").alias("n"), F.explode(zipped).alias("x"))
+    rows = rows.select(*own, "word_index", "before", "next", F.size("runs").alias("n"), F.explode(zipped).alias("x"))
     rows = rows.where("x.r1 is not null").select(
-        "doc_id",
+        *own,
         "word_index",
         F.col("x.place").alias("place"),
         F.col("x.r1").alias("candidate"),
@@ -153,35 +162,35 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, word_index, candidate, probability, is_secret."""
-    rows = stored(labelled(featured(candidates(docs))), "candidates")
+    """One row per candidate: doc_id, tie, tie2, word_index, candidate, probability, is_secret; once for equal rows."""
+    rows = candidates(docs).dropDuplicates(["tie", "tie2", "word_index", "place"])
+    rows = stored(labelled(featured(rows)), "candidates")
     per = {r.label: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
     if len(per) < 2:
         sure = F.coalesce("label", F.lit(0.0))
     else:
         one, zero = (int(1e6 * min(1.0, train_rows / 2 / per[k]) + 1) for k in (1.0, 0.0))
         share = F.when(F.col("label") == 1, one).otherwise(zero)
-        chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "word_index", "place"), F.lit(1_000_000))
+        chance = F.pmod(F.xxhash64("tie", "word_index", "place"), F.lit(1_000_000))
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         known = assemble.transform(rows.where("label is not null").where(chance < share))
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=6).fit(known.select("features", "label"))
         rows = forest.transform(assemble.transform(rows))
         sure = vector_to_array(F.col("probability"))[1]
-    out = rows.select("doc_id", "word_index", "candidate", sure.alias("p"))
-    return out.select("doc_id", "word_index", "candidate", F.col("p").alias("probability"), (F.col("p") >= threshold).alias("is_secret"))
+    out = rows.select("doc_id", "tie", "tie2", "word_index", "candidate", sure.alias("p"))
+    return out.select("doc_id", "tie", "tie2", "word_index", "candidate", F.col("p").alias("probability"), (F.col("p") >= threshold).alias("is_secret"))
 
 
 def findings(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_candidates, n_secrets and the word indexes of its secrets."""
-    found = scan(docs, **options).groupBy("doc_id").agg(
+    found = scan(docs, **options).groupBy("tie", "tie2").agg(
         F.count("*").alias("n_candidates"),
         F.sum(F.col("is_secret").cast("long")).alias("n_secrets"),
         F.sort_array(F.collect_set(F.when(F.col("is_secret"), F.col("word_index")))).alias("secret_words"),
     )
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     zero = F.lit(0).cast("long")
-    return ids.join(found, ids.doc_id.eqNullSafe(found.doc_id), "left").select(
-        ids.doc_id,
+    return _keyed(docs).select("doc_id", "tie", "tie2").join(found, ["tie", "tie2"], "left").select(
+        "doc_id",
         F.coalesce("n_candidates", zero).alias("n_candidates"),
         F.coalesce("n_secrets", zero).alias("n_secrets"),
         F.coalesce("secret_words", F.array().cast("array<int>")).alias("secret_words"),

@@ -300,7 +300,15 @@ def test_secrets(spark, odd):
         rows.append((i, f"some words here {word} and more words"))
     out = secrets.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all((r.n_secrets > 0) == (r.doc_id % 4 < 2) for r in out) and len(out) == 120
-    assert {r.doc_id: r.n_secrets for r in secrets.findings(odd.where("doc_id <> 6")).collect()}[1] == 0
+    assert {r.doc_id: r.n_secrets for r in secrets.findings(odd).collect()}[1] == 0
+    # Null and repeated ids, and equal rows: every row has the findings of its own text.
+    key = "password=hunter2hunter2"
+    ids = [(None, f"the {key} is"), (None, "plain words only"), (7, f"a {key}"), (7, "plain words"), (8, f"two {key} {key}"), (8, f"two {key} {key}")]
+    out = secrets.findings(spark.createDataFrame(rows + [(i and i + 1000, t) for i, t in ids], "doc_id long, text string")).collect()
+    assert len(out) == 126
+    assert Counter((r.doc_id, r.n_secrets) for r in out if r.doc_id is None or r.doc_id > 999) == Counter(
+        [(None, 1), (None, 0), (1007, 1), (1007, 0), (1008, 2), (1008, 2)]
+    )
 
 
 def test_weak_labels():
@@ -653,3 +661,12 @@ def test_license_scan(spark):
 def test_license_scan_of_documents(spark, docs):
     got = Counter(tuple(r) for r in license_scan.license_labels(docs).collect())
     assert got == brute_licences([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_quality_model_without_ids(spark, docs):
+    """Rows without id are drawn one by one, and never more than asked for."""
+    without = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    out = quality_model.score(without, train_docs=150).collect()
+    assert len(out) == docs.count() and {r.kept for r in out} == {True, False}
+    same = docs.limit(1).crossJoin(spark.range(400)).select("doc_id", "text")
+    assert quality_model.score(same, train_docs=20).count() == 400
