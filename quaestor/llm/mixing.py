@@ -29,6 +29,8 @@ SHARE = 1.5
 LIMIT = 2
 BLOCK = 32
 SHARDS = 64
+#: Slots that one task makes.
+SLOTS_PER_TASK = 250_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, limit: int = LIMIT) -> list[float]:
@@ -112,10 +114,12 @@ def mix(
 
     # Slots: a shard's range is cut into chunks, so that no row expands into an unbounded array.
     chunk = 10_000
+    # By number: the adaptive plan would merge the few plan rows into one task, which then made all slots.
+    tasks = max(1, -(-sum(quotas) // SLOTS_PER_TASK))
     slots = (
         plan.join(table.select("source_no", "n_blocks", "steps"), "source_no")
         .withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long"))))
-        .repartition("source_no", "shard", "at")
+        .repartition(tasks, "source_no", "shard", "at")
         .withColumn(
             "j", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + chunk, "slots") - 1))
         )

@@ -670,3 +670,14 @@ def test_quality_model_without_ids(spark, docs):
     assert len(out) == docs.count() and {r.kept for r in out} == {True, False}
     same = docs.limit(1).crossJoin(spark.range(400)).select("doc_id", "text")
     assert quality_model.score(same, train_docs=20).count() == 400
+
+
+def test_slots_are_made_by_many_tasks(docs, monkeypatch):
+    """The number of tasks grows with the slots, and what they make does not depend on it."""
+    want = Counter(map(tuple, mixing.taken_words(docs).collect()))
+    monkeypatch.setattr(mixing, "SLOTS_PER_TASK", 100)
+    _, taken = mixing.mix(docs)
+    plan = taken._jdf.queryExecution().toString()
+    numbers = [int(n) for n in re.findall(r"RepartitionByExpression \[source_no[^\]]*\], (\d+)", plan)]
+    assert numbers and max(numbers) > 10
+    assert Counter(map(tuple, mixing.taken_words(docs).collect())) == want
