@@ -283,6 +283,7 @@ ORACLES["rule_flags"] = f"{_S} SELECT txn_id, {_FLAGS} FROM scored"
 ORACLES["risk_score"] = f"{_S} SELECT txn_id, risk_score FROM scored"
 ORACLES["severity"] = f"{_S} SELECT txn_id, severity, is_alert FROM scored"
 ORACLES["aml_scored"] = f"{_S} SELECT * EXCLUDE (near_threshold_txns) FROM scored"
+ORACLES["aml_scored_incremental"] = ORACLES["aml_scored"]
 ORACLES["aml_scored_days"] = f"{_SD} SELECT txn_id, {_FLAGS}, risk_score, severity, is_alert FROM scored"
 ORACLES["aml_metrics"] = f"""{_S} SELECT count(*) AS total_transactions, count(*) FILTER (is_alert) AS alert_transactions,
 {', '.join(f"count(*) FILTER (severity = '{s}') AS {s}_severity" for s in ('high', 'medium', 'low'))},
