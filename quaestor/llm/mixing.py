@@ -9,9 +9,10 @@ pseudorandom permutation; blocks and documents meet in a join on source and bloc
 Targets: sources in order of code point, null last, weigh 5, 2, 1, repeating, and share ``share`` of all
 words. A target stops at ``limit`` times its source, and the excess is shared anew by weight.
 
-Null text has size 0. A document of size 0 is returned with ``taken`` 0. Rows that repeat a ``doc_id``
-are told apart by their text's hash; rows equal in both split what is taken at random, deterministically.
-Only doc_id, text and source are read. The sources are collected (one row each, with counts).
+Null text has size 0. A document of size 0 is returned with ``taken`` 0. Every row has a number of its own, stored
+with its size, so rows that repeat a ``doc_id`` or are equal throughout have their own place in the stream and their own
+part of what is taken; of equal rows it does not matter which has which. Of the columns of documents those there are
+are read, others are not. The sources are collected (one row each, with counts).
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import WORD, buckets_for, n_words, running_offsets, stored
+from quaestor.llm.common import SPACE, WORD, buckets_for, n_words, running_offsets, stored
 
+NAMES = ("doc_id", "text", "lang", "source", "n_chars")
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
@@ -63,6 +65,13 @@ def draw(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _identity(docs: DataFrame, seed: int) -> tuple[Column, Column]:
+    """Two hashes that rows share only if they are equal: of id and text, and of all columns of documents."""
+    there = [F.col(n).isNull() if null else F.col(n) for n in NAMES if n in docs.columns for null in (True, False)]
+    first = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.lit(seed))
+    return first.alias("row"), F.xxhash64(F.lit(seed), *there).alias("row2")
+
+
 def _steps(n: int, rng: np.random.Generator) -> tuple[int, int]:
     """A step coprime to ``n`` and a start: i -> (step * i + start) mod n is a permutation."""
     if n < 2:
@@ -78,15 +87,16 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: documents with size, source_size and target; and what is taken.
 
-    ``taken``: shard, slot, pass, row, word_from, word_to. ``row`` names the document of the first table;
-    words are counted from 0.
+    ``taken``: shard, slot, pass, row, row2, number, word_from, word_to. ``number`` names the row of the first table,
+    ``row`` and ``row2`` its content; words are counted from 0.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("size"),
-        F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed)).alias("row"),
+        *_identity(docs, seed),
+        F.monotonically_increasing_id().alias("number"),
     )
     rows = stored(rows, "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -132,12 +142,12 @@ def mix(
     total = sum(r.n for r in found)
     given = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source", "steps")
     streams = running_offsets(
-        given.where("size > 0"), ["source_no"], ["row", "doc_id"], F.col("size"), buckets_for(total), "start"
+        given.where("size > 0"), ["source_no"], ["row", "row2"], F.col("size"), buckets_for(total), "start"
     )
     step = F.lit(block).cast("long")
     parts = streams.select(
         "source_no",
-        "row",
+        *("row", "row2", "number"),
         "start",
         "size",
         F.explode(
@@ -145,52 +155,44 @@ def mix(
         ).alias("block"),
     ).select(
         "source_no",
-        "row",
+        *("row", "row2", "number"),
         "block",
         (F.greatest(F.col("block") * step, "start") - F.col("start")).alias("word_from"),
         (F.least((F.col("block") + 1) * step, F.col("start") + F.col("size")) - F.col("start")).alias("word_to"),
     )
     # Slots are exploded from a few plan rows, from whose size the adaptive plan would conclude to broadcast them.
-    taken = parts.join(slots.hint("merge"), ["source_no", "block"]).select("shard", "slot", "pass", "row", "word_from", "word_to")
-    return given.select("doc_id", "row", "size", "source_size", "target"), taken
+    taken = parts.join(slots.hint("merge"), ["source_no", "block"]).select(
+        "shard", "slot", "pass", "row", "row2", "number", "word_from", "word_to"
+    )
+    return given.select("doc_id", "number", "size", "source_size", "target"), taken
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target and the words the mix takes, repeats counted."""
     given, taken = mix(docs, **options)
-    sums = taken.groupBy("row").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    copy = Window.partitionBy("row").orderBy("doc_id")
-    given = given.withColumn("copy", F.row_number().over(copy)).withColumn(
-        "copies", F.count(F.lit(1)).over(Window.partitionBy("row"))
-    )
-    each = F.floor(F.col("taken") / F.col("copies"))
-    part = each + F.when(F.col("copy") <= F.col("taken") % F.col("copies"), 1).otherwise(0)
-    return given.join(sums, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce(part, F.lit(0)).cast("long").alias("taken")
+    sums = taken.groupBy("number").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    return given.join(sums, "number", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each pass that takes words of a document one row with these words.
 
-    A pass that takes the whole document keeps its text; otherwise the taken words are joined by spaces.
-    Columns are those of ``docs``; ``n_chars`` is that of the new text.
+    A pass that takes the whole document keeps its text; otherwise the taken words keep the white space after them, but
+    for the last. Columns are those of ``docs``; ``n_chars`` is that of the new text. Equal rows have one text, read once.
     """
-    seed = options.get("seed", 9)
     _, taken = mix(docs, **options)
     spans = F.sort_array(F.collect_list(F.struct("word_from", "word_to")))
-    passes = taken.dropDuplicates(["row", "pass", "word_from"]).groupBy("row", "pass").agg(spans.alias("spans"))
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
-    own = docs.select(
-        *names, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.lit(seed)).alias("row")
-    )
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
+    passes = taken.groupBy("row", "row2", "number", "pass").agg(spans.alias("spans"))
+    own = docs.select(*NAMES, *_identity(docs, options.get("seed", 9))).dropDuplicates(["row", "row2"])
+    words = F.regexp_extract_all("text", F.lit(f"({WORD}[{SPACE}]*)"), 1)
     count = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["word_to"] - s["word_from"])
-    joined = own.join(passes, "row").withColumn("words", words).withColumn("whole", count == F.size("words"))
+    joined = own.join(passes, ["row", "row2"]).withColumn("words", words).withColumn("whole", count == F.size("words"))
     cut = F.flatten(
         F.transform("spans", lambda s: F.slice(F.col("words"), s["word_from"].cast("int") + 1, (s["word_to"] - s["word_from"]).cast("int")))
     )
-    text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(cut, " "))
+    text = F.when(F.col("whole"), F.col("text")).otherwise(F.regexp_replace(F.array_join(cut, ""), rf"[{SPACE}]+\z", ""))
     return joined.withColumn("mixed", text).select(
         "doc_id", F.col("mixed").alias("text"), "lang", "source", F.length("mixed").cast("long").alias("n_chars")
     )
