@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints.
 
 The nested field paths of a table, or of each JSON record, are hashed; the hash selects a declarative
-mapping that turns the layout into canonical turns (conv_id, turn, role, text). Paths that no mapping knows
-are ignored, so extra columns or fields do not hide a layout; an unknown layout is an error for a table
-and leaves JSON records without turns.
+mapping that turns the layout into canonical turns (conv_id, turn, role, text). Each mapping hashes only the
+paths it knows itself, so extra columns or fields do not hide a layout, those of other layouts neither. Of
+several mappings that fit the one with most paths is taken, then the first. The paths of an array are those of
+all its elements; an element without role or text has an empty one. An unknown layout is an error for a
+table; JSON records of unknown layout, null or broken ones are the rows of ``unmatched_json``.
 
 The template marks each turn and escapes control strings inside roles and texts with a backslash, which
 ``parsed`` takes out again. Null roles and texts are empty. Turns come in order of turn (null first),
@@ -34,8 +36,9 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 class Mapping:
     """How a layout becomes turns.
 
-    ``items`` names an array of messages with fields ``role`` and ``text``; without it, ``fields`` lists
-    (role, field) pairs in order; with neither, every row is a turn with columns ``turn``, ``role``, ``text``.
+    ``items`` names an array of messages with fields ``role`` and ``text``, and a ``system`` field comes before them;
+    without it, ``fields`` lists (role, field) pairs in order; with neither, every row is a turn with columns
+    ``turn``, ``role``, ``text``.
     """
 
     name: str
@@ -49,10 +52,13 @@ class Mapping:
 
 MAPPINGS = (
     Mapping("rows by turn", ("role", "text", "turn")),
-    Mapping("messages", ("messages", "messages[].content", "messages[].role"), items="messages", text="content"),
+    Mapping(
+        "messages", ("messages", "messages[].content", "messages[].role"), ("system",), items="messages", text="content"
+    ),
     Mapping(
         "conversations",
         ("conversations", "conversations[].from", "conversations[].value"),
+        ("system",),
         items="conversations",
         role="from",
         text="value",
@@ -71,22 +77,31 @@ MAPPINGS = (
         fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")),
     ),
 )
-VOCABULARY = sorted({p for m in MAPPINGS for p in (*m.paths, *m.optional)})
+
+
+def vocabulary(mapping: Mapping) -> list[str]:
+    return sorted({*mapping.paths, *mapping.optional})
 
 
 def fingerprint(paths) -> str:
-    """SHA-256 of the sorted known paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(VOCABULARY))).encode()).hexdigest()
+    """SHA-256 of the sorted paths."""
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
+#: Of each mapping the fingerprints of its paths with any of the optional ones.
 REGISTRY = {
-    fingerprint((*m.paths, *extra)): m
+    m: {fingerprint((*m.paths, *extra)) for k in range(len(m.optional) + 1) for extra in combinations(m.optional, k)}
     for m in MAPPINGS
-    for k in range(len(m.optional) + 1)
-    for extra in combinations(m.optional, k)
 }
 
 
+def mapping_for(paths) -> Mapping | None:
+    """The mapping that fits with most paths."""
+    known = [(m, set(paths) & set(vocabulary(m))) for m in MAPPINGS]
+    fits = [(m, own) for m, own in known if fingerprint(own) in REGISTRY[m]]
+    return max(fits, key=lambda f: len(f[1]))[0] if fits else None
+
+
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     """Nested field paths; elements of arrays are marked by []."""
     if isinstance(kind, T.ArrayType):
@@ -111,9 +126,15 @@ def _role(column: Column) -> Column:
 
 def _turns(df: DataFrame, mapping: Mapping, key: str) -> DataFrame:
     if mapping.items:
-        rows = df.select(F.col(key).alias("conv_id"), F.posexplode(mapping.items).alias("turn", "m"))
-        role, text = _role(F.col("m")[mapping.role]), _text(F.col("m")[mapping.text])
-        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+        items = F.transform(
+            mapping.items,
+            lambda m: F.struct(_role(m[mapping.role].cast("string")).alias("role"), _text(m[mapping.text]).alias("text")),
+        )
+        if "system" in mapping.optional and "system" in df.columns:
+            first = F.struct(F.lit("system").alias("role"), _text(F.col("system")).alias("text"))
+            items = F.when(F.col("system").isNull(), items).otherwise(F.concat(F.array(first), items))
+        rows = df.select(F.col(key).alias("conv_id"), F.posexplode(items).alias("turn", "m"))
+        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
     if not mapping.fields:
         turn = F.col("turn").cast("long").alias("turn")
         return df.select(F.col(key).alias("conv_id"), turn, _text(F.col("role")).alias("role"), _text(F.col("text")).alias("text"))
@@ -126,35 +147,54 @@ def _turns(df: DataFrame, mapping: Mapping, key: str) -> DataFrame:
 
 def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text of a table in any known layout."""
-    mark = fingerprint(schema_paths(df.schema))
-    if mark not in REGISTRY:
+    mapping = mapping_for(schema_paths(df.schema))
+    if mapping is None:
         raise ValueError(f"no mapping for the layout of columns {df.columns}")
-    return _turns(df, REGISTRY[mark], key)
+    return _turns(df, mapping, key)
+
+
+def _marked(df: DataFrame, key: str, column: str) -> DataFrame:
+    """_key, _json and the number of the mapping that fits the record, null if none does."""
+    none = F.array().cast("array<string>")
+    paths = F.coalesce(F.json_object_keys(column), none)
+    for items in sorted({m.items for m in MAPPINGS if m.items}):
+        elements = F.from_json(column, f"{items} array<string>")[items]
+        inner = F.flatten(F.transform(elements, lambda e: F.coalesce(F.json_object_keys(e), none)))
+        prefix = F.lit(f"{items}[].")
+        inner = F.transform(F.array_distinct(inner), lambda k: F.concat(prefix, k))  # noqa: B023
+        paths = F.concat(paths, F.coalesce(inner, none))
+    rows = df.select(F.col(key).alias("_key"), F.col(column).alias("_json"), paths.alias("_paths"))
+    fits = []
+    for number, mapping in enumerate(MAPPINGS):
+        own = F.array_sort(F.array_intersect("_paths", F.array(*[F.lit(p) for p in vocabulary(mapping)])))
+        fit = F.sha2(F.array_join(own, "\n"), 256).isin(*sorted(REGISTRY[mapping]))
+        choice = F.struct(F.size(own).alias("paths"), F.lit(-number).alias("place"))
+        fits.append(F.when(fit, choice))
+    best = F.array_max(F.array(*fits))
+    return rows.select("_key", "_json", (-best["place"]).alias("_mapping"))
 
 
 def canonical_json(df: DataFrame, key: str = "conv_id", column: str = "json") -> DataFrame:
     """The same for JSON records of mixed layouts, each by its own fingerprint."""
-    paths = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
-    for items in sorted({m.items for m in MAPPINGS if m.items}):
-        inner = F.json_object_keys(F.get_json_object(column, f"$.{items}[0]"))
-        inner = F.split(F.concat(F.lit(f"{items}[]."), F.array_join(inner, f"\n{items}[].")), "\n")
-        paths = F.concat(paths, F.coalesce(inner, F.array().cast("array<string>")))
-    known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in VOCABULARY])))
-    marked = df.select(F.col(key).alias("_key"), F.col(column).alias("_json"), F.sha2(F.array_join(known, "\n"), 256).alias("_mark"))
-    out = None
-    for mark, mapping in REGISTRY.items():
+    marked, out = _marked(df, key, column), None
+    for number, mapping in enumerate(MAPPINGS):
         if mapping.items:
-            kind = f"{mapping.items} array<struct<`{mapping.role}`:string, `{mapping.text}`:string>>"
+            kind = f"{mapping.items} array<struct<`{mapping.role}`:string, `{mapping.text}`:string>>, system string"
         elif mapping.fields:
             kind = ", ".join(f"`{f}` string" for _, f in mapping.fields)
         else:
             kind = "turn long, role string, text string"
-        rows = marked.where(F.col("_mark") == mark).select("_key", F.from_json("_json", kind).alias("r")).select("_key", "r.*")
+        rows = marked.where(F.col("_mapping") == number).select("_key", F.from_json("_json", kind).alias("r")).select("_key", "r.*")
         turns = _turns(rows, mapping, "_key")
         out = turns if out is None else out.union(turns)
     return out
 
 
+def unmatched_json(df: DataFrame, key: str = "conv_id", column: str = "json") -> DataFrame:
+    """conv_id and json of the records that ``canonical_json`` finds no mapping for."""
+    return _marked(df, key, column).where("_mapping is null").select(F.col("_key").alias("conv_id"), F.col("_json").alias("json"))
+
+
 def escaped(text: Column, line: bool = False) -> Column:
     """Backslashes doubled, and one put after the first character of each control string."""
     out = F.regexp_replace(text, r"\\", r"\\\\")

@@ -681,3 +681,50 @@ def test_slots_are_made_by_many_tasks(docs, monkeypatch):
     numbers = [int(n) for n in re.findall(r"RepartitionByExpression \[source_no[^\]]*\], (\d+)", plan)]
     assert numbers and max(numbers) > 10
     assert Counter(map(tuple, mixing.taken_words(docs).collect())) == want
+
+
+def test_mixing_of_equal_rows(spark):
+    """Rows equal throughout, of more words than a block, each stay within twice their size, as words and as texts."""
+    long_text = "\n".join(f"w{i} x{i}" for i in range(50))
+    rows = [(3, long_text, "en", "s", 1)] * 3 + [(None, long_text, "en", "s", 1)] * 2 + [(3, long_text, "de", "t", 1)]
+    rows += [(i, f"some other text number {i}", "en", "u", 1) for i in range(10, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.taken_words(df).collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in out)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.taken_words(df.repartition(5)).collect()))
+    mixed, per = mixing.mixed_documents(df).collect(), Counter()
+    for r in mixed:
+        per[(r.doc_id, r.source)] += len(words(r.text))
+        assert r.source != "s" or all(line in long_text.split("\n") for line in r.text.split("\n")[1:-1])
+    want = Counter()
+    for r, (doc, _, _, source, _) in zip(sorted(out, key=lambda r: (str(r.doc_id), r.source_size)), sorted(rows, key=lambda r: (str(r[0]), {"s": 500, "t": 100, "u": 100}[r[3]])), strict=True):
+        want[(doc, source)] += r.taken
+    assert {k: v for k, v in want.items() if v} == dict(per)
+
+
+def test_chat_extra_fields_and_partial_elements(spark):
+    records = [
+        (1, '{"instruction":"q","input":"i","output":"a","text":"all of it"}'),
+        (2, '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"system":"s","prompt":"p"}'),
+        (3, '{"messages":[{"role":"user"},{"role":"assistant","content":"a","name":"n"}]}'),
+        (4, '{"conversations":[{"value":"q"},null,{"from":"gpt","value":"a"}],"role":"x"}'),
+        (5, '{"prompt":"q","completion":"a","instruction":"z"}'),
+        (6, '{"messages":[]}'),
+        (7, '{"messages":"text"}'),
+        (8, "not json"),
+        (9, None),
+        (9, '{"role":"user"}'),
+    ]
+    df = spark.createDataFrame(records, "conv_id long, json string")
+    got = {}
+    for r in sorted(chat.canonical_json(df).collect(), key=lambda r: (r.conv_id, r.turn)):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {
+        1: [("user", "q"), ("user", "i"), ("assistant", "a")],
+        2: [("system", "s"), ("user", "q"), ("assistant", "a")],
+        3: [("user", ""), ("assistant", "a")],
+        4: [("", "q"), ("", ""), ("assistant", "a")],
+        5: [("user", "q"), ("assistant", "a")],
+    }
+    left = chat.unmatched_json(df).collect()
+    assert Counter(map(tuple, left)) == Counter(r for r in records if r[0] not in got)
