@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.session import cut_lineage
+from quaestor.session import stored
 
 
 def _node(df: DataFrame, node_id: str, node_type: str, name: str, operation: str, **extra) -> DataFrame:
@@ -90,11 +90,33 @@ def all_parents(nodes: DataFrame) -> DataFrame:
 def lineage_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start, node, steps)``: each start and its ancestors, ``steps`` edges away.
 
-    ``edges`` holds one parent per node. Order a chain by descending ``steps`` to read it from
-    its source. All starts advance together, one join per level; a node seen before on the same
-    chain ends it, so cycles are safe.
+    ``edges`` holds one parent per node. Order a chain by descending ``steps`` to read it from its
+    source. All starts advance together by doubling: after k rounds they know what is less than 2**k
+    edges away, and a jump table leads from every node to what is 2**k edges away. So the rounds are
+    the logarithm of the longest chain, and the jump table never has more rows than ``edges``. A node
+    met again on the same chain keeps its smaller distance, so cycles are safe.
     """
-    return _walk(edges.select(F.col("node").alias("_from"), F.col("parent").alias("_to")), starts)
+    jumps = edges.select(F.col("node").alias("_from"), F.col("parent").alias("_to")).distinct()
+    reached = starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("steps")).distinct()
+    jumps, reached = stored(jumps, "jumps"), stored(reached, "reached")
+    for k in count():
+        further = (
+            reached.join(jumps, reached.node == jumps._from)
+            .select("start", F.col("_to").alias("node"), (F.col("steps") + (1 << k)).alias("steps"))
+            .groupBy("start", "node")
+            .agg(F.min("steps").alias("steps"))
+            .join(reached, ["start", "node"], "left_anti")
+        )
+        further = stored(further, "reached")
+        if further.isEmpty():
+            return reached
+        reached = reached.unionByName(further)
+        middle = jumps.select(F.col("_from").alias("_middle"), F.col("_to").alias("_end"))
+        jumps = stored(
+            jumps.join(middle, jumps._to == middle._middle).select("_from", F.col("_end").alias("_to")).distinct(), "jumps"
+        )
+        if jumps.isEmpty():
+            return reached
 
 
 def lineage_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -104,9 +126,10 @@ def lineage_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def _walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """Breadth-first from all starts; each level is checkpointed to keep plans short."""
-    frontier = cut_lineage(
-        starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("steps")).distinct()
+    """Breadth-first from all starts; each level is stored to keep plans short. Of what was reached
+    before, a level meets only the rows of starts that still advance."""
+    frontier = stored(
+        starts.select(F.col("node").alias("start"), F.col("node"), F.lit(0).alias("steps")).distinct(), "reached"
     )
     reached = frontier
     for depth in count(1):
@@ -115,7 +138,8 @@ def _walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
             .select("start", F.col("_to").alias("node"), F.lit(depth).alias("steps"))
             .distinct()
         )
-        frontier = cut_lineage(step.join(reached, ["start", "node"], "left_anti"))
+        active = reached.join(frontier.select("start").distinct(), "start", "left_semi")
+        frontier = stored(step.join(active, ["start", "node"], "left_anti"), "reached")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaestor import constants as C
 from quaestor.functions.columns import exact_sum, half_even
 from quaestor.operators.percentiles import Spread, exact_percentiles
+from quaestor.session import stored, stored_copy
 
 
 def row_counts(raw: DataFrame, clean: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -73,16 +74,17 @@ _STATS_SCHEMA = "count bigint, " + ", ".join(f"{name} double" for name in _STATS
 def amount_stats(clean: DataFrame, column: str = "amount_clean", approximate: bool = False) -> DataFrame:
     """One row: count, mean, sample standard deviation, min, quartiles, max.
 
-    Exact quartiles by default, which takes a few passes; ``approximate=True`` takes Spark's
-    sketch, all in one pass.
+    Exact quartiles by default: the column is stored once and read twice, as a rule. ``approximate=True``
+    takes Spark's sketch, all in one pass and without a copy.
     """
     x = F.col(column).cast("double")
     if approximate:
         quartiles = F.percentile_approx(x, [0.25, 0.5, 0.75]).alias("_quartiles")
         named = [F.get("_quartiles", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
         return clean.agg(*_moments(x), quartiles).select("*", *named).select(*_STATS)
-    first_pass = clean.agg(*_moments(x), *Spread.columns(x)).first().asDict()
-    values = _with_quartiles(clean, column, first_pass)
+    with stored_copy(clean.select(x.alias(column)), "amounts") as amounts:
+        found = amounts.agg(*_moments(F.col(column)), *Spread.columns(F.col(column))).first().asDict()
+        values = _with_quartiles(amounts, column, found)
     return clean.sparkSession.createDataFrame([values], _STATS_SCHEMA)
 
 
@@ -127,12 +129,13 @@ def rejection_report(clean: DataFrame) -> DataFrame:
 def quality_metrics(raw: DataFrame, clean: DataFrame, ledger: DataFrame) -> DataFrame:
     """One row with all metrics: nested structs, and a map for rows per status.
 
-    One pass over ``clean`` counts everything that can be counted at once. The quartiles add
-    their own passes; the last one counts the outliers, with the duplicate ids (a shuffle on the
-    id) and the sizes of the other two tables as scalar subqueries.
+    The columns needed of ``clean`` are stored once. A pass over them counts everything that can be
+    counted at once, one settles the quartiles, and the last one counts the outliers, with the
+    duplicate ids (a shuffle on the id) and the sizes of the other two tables as scalar subqueries.
     """
     x = F.col("amount_clean").cast("double")
     nulls = [c for c in C.QUALITY_NULL_COLUMNS if c in clean.columns]
+    clean = stored(clean.select(*dict.fromkeys(("txn_id", "amount_clean", "status_clean", "is_late", *nulls))), "quality")
     found = (
         clean.agg(
             *_moments(x),

@@ -457,6 +457,8 @@ ORACLES["lineage_chain"] = f"""WITH RECURSIVE {_EDGES}, walk AS (
 SELECT DISTINCT node AS start, node, 0 AS steps FROM edges
 UNION SELECT w.start, e.parent, w.steps + 1 FROM walk w JOIN edges e ON e.node = w.node)
 SELECT start, node, steps FROM walk"""
+ORACLES["lineage_deep_chain"] = """SELECT first_value(o_orderkey) OVER w AS start, o_orderkey AS node, row_number() OVER w - 1 AS steps
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)"""
 ORACLES["lineage_first_parents"] = """SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS steps FROM customer
 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1 FROM customer"""
 ORACLES["lineage_impact"] = f"""WITH RECURSIVE {_EDGES}, walk AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaestor import constants as C
@@ -759,6 +759,18 @@ def lineage_chain(spark, d):
     return lineage.lineage_chain(edges, edges.select("node"))
 
 
+@query
+def lineage_deep_chain(spark, d):
+    """Each customer's orders as one chain, the order before as the parent, walked back from the last one."""
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("node"),
+        F.lag("o_orderkey").over(before).alias("parent"),
+        F.lead("o_orderkey").over(before).isNull().alias("is_last"),
+    )
+    return lineage.lineage_chain(orders.where("parent is not null"), orders.where("is_last"))
+
+
 @query
 def lineage_first_parents(spark, d):
     """Nodes with several parents: of a customer's, the nation comes first, then the segment."""

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quaestor.sources import fs
+
 
 def local_session(app: str = "quaestor", cores: int | str = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster pass the session you have."""
@@ -48,3 +52,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as a table and read back. Unlike a checkpoint it is computed
+    once, and later passes read only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stored_copy(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The same for as long as the block runs; the table is removed behind it."""
+    path = scratch_path(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        fs.remove(df.sparkSession, path)

@@ -193,6 +193,20 @@ def test_cycles_end(spark):
     assert collect(lineage.lineage_impact(edges, starts)) == [("a", "b", 2), ("a", "c", 1)]
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    edges = spark.range(3999).select((F.col("id") + 1).cast("string").alias("node"), F.col("id").cast("string").alias("parent"))
+    starts = spark.createDataFrame([("3999",), ("5",)], "node string")
+    rounds, write = [], lineage.stored
+    monkeypatch.setattr(lineage, "stored", lambda df, name: rounds.append(name) or write(df, name))
+    got = lineage.lineage_chain(edges, starts)
+    assert rounds.count("reached") - 1 <= 13
+    expected = [(s, str(int(s) - k), k) for s in ("3999", "5") for k in range(int(s) + 1)]
+    assert collect(got) == sorted(expected, key=lambda t: tuple(map(str, t)))
+    ring = edges.unionByName(spark.createDataFrame([("0", "20")], "node string, parent string")).where("int(node) <= 20")
+    alone = collect(lineage.lineage_chain(ring, starts.where("node = '5'")))
+    assert [t[2] for t in alone if t[1] == "0"] == [5] and len(alone) == len({t[1] for t in alone})
+
+
 def test_nodes(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "col1 bigint, col2 string")
     kept = df.filter("col1 > 1")
