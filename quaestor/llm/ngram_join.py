@@ -392,15 +392,18 @@ def _components(keyed: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[D
     sets = stored(sets.withColumn("rep", F.col("best.row")), "sets")
     emitting = prints.where("parts is not null")
     reps = stored(emitting.join(sets.select("set_id", "rep"), "set_id").select("row", "rep"), "reps")
-    postings = emitting.select("row", "parts").join(reps, "row").select("rep", F.explode("parts").alias("part"))
+    # Joined once, as the postings are read twice; the prints are not needed any more.
+    dealt = stored(emitting.select("row", "parts").join(reps, "row").select("rep", "parts"), "dealt")
+    rows = stored(prints.drop("parts"), "rows")
+    discard(prints, reps)
+    postings = dealt.select("rep", F.explode("parts").alias("part"))
     # Parts of two sets at least, told by two numbers per part, so that a part of very many sets is combined before it moves.
     several = postings.groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     several = stored(several.where("low < high").select("part"), "several")
     sharing = stored(postings.join(several, "part").select("part", "rep").distinct(), "sharing")
     sharers = sharing.groupBy("part").agg(F.count(F.lit(1)).alias("sharers"))
     shared = stored(sharing.join(sharers, "part"), "shared")
-    rows = stored(prints.drop("parts"), "rows")
-    discard(prints, reps, several, sharing)
+    discard(dealt, several, sharing)
     ties = F.col("best.tie").alias("w_tie"), F.col("best.tie2").alias("w_tie2")
     wanted = stored(shared.select("rep").distinct().join(sets.select("rep", *ties), "rep"), "wanted")
     packed = _packed(keyed.select("tie", "tie2", "text"))
