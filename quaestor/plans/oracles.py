@@ -388,6 +388,13 @@ ORACLES["contract_result"] = f"""{_D}, v AS ({_C_ALL}) SELECT 'feed' AS contract
 'violated' AS status, count(*) AS error_count, CAST(0 AS BIGINT) AS warning_count,
 (SELECT count(*) FROM dirty) AS row_count, 8 AS column_count FROM v"""
 
+ORACLES["contract_report"] = f"""{_D}, v AS ({_C_ALL}) SELECT 'feed' AS contract_name, 'violated' AS status,
+(SELECT count(*) FROM v) AS error_count, (SELECT count(*) FROM dirty) AS row_count, v.* FROM v"""
+ORACLES["contract_types_and_age"] = """SELECT 'dtype' AS constraint_type, 'o_totalprice' AS column_name,
+'error' AS severity, CAST(1 AS BIGINT) AS violation_count
+UNION ALL SELECT 'freshness', 'o_orderdate', 'error', count(DISTINCT 1) FROM orders
+HAVING max(o_orderdate) < TIMESTAMP '2029-12-31 00:00:00'"""
+
 # --- Drift --------------------------------------------------------------------------------------
 
 

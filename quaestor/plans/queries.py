@@ -28,7 +28,7 @@ from quaestor.operators import (
     velocity,
 )
 from quaestor.operators import aml_alerts as alerting
-from quaestor.operators.contracts import ColumnRule, Contract, Reference
+from quaestor.operators.contracts import ColumnRule, Contract, Freshness, Reference
 from quaestor.params import AmlParams, FeedParams, JobParams, SkewParams, TrustParams
 from quaestor.plans import jobs
 from quaestor.plans.stages import StageStore
@@ -655,6 +655,27 @@ def contract_result(spark, d):
     return contracts.contract_result(df, FEED_CONTRACT, contracts.contract_violations(df, FEED_CONTRACT))
 
 
+@query
+def contract_report(spark, d):
+    """The stored report, read back with a row per violation."""
+    df, path = dirty_feed(spark, d), scratch_path(spark, "contract")
+    report = contracts.contract_report(df, FEED_CONTRACT, contracts.contract_violations(df, FEED_CONTRACT))
+    sinks.write_contract_report(report, path)
+    stored_report = sinks.read_contract_report(spark, path)
+    return stored_report.select("contract_name", "status", "error_count", "row_count", F.inline("violations"))
+
+
+@query
+def contract_types_and_age(spark, d):
+    """A declared type that differs, and a table whose newest row is too old."""
+    contract = Contract(
+        "orders",
+        (ColumnRule("o_totalprice", dtype="string"), ColumnRule("o_orderkey")),
+        freshness=Freshness("o_orderdate", 24.0, datetime(2030, 1, 1)),
+    )
+    return _violations(spark, d, contract, df=table(spark, d, "orders")).drop("message")
+
+
 # --- Drift --------------------------------------------------------------------------------------
 
 
@@ -788,11 +809,6 @@ def lineage_impact(spark, d):
     return lineage.lineage_impact(edges, edges.select(F.col("parent").alias("node")))
 
 
-@query
-def file_hashes(spark, d):
-    return lineage.file_hashes(spark, d, "*.parquet")
-
-
 @query
 def source_fingerprint(spark, d):
     return lineage.table_fingerprint(table(spark, d, "events"), ("event_id", "user_id", "event_type", "props"))

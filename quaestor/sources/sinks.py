@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.operators.validate import validate_ledger_ids
@@ -59,6 +59,19 @@ def write_report_json(rows: DataFrame, path: str) -> str:
     return path
 
 
+def write_contract_report(report: DataFrame, path: str) -> str:
+    """Store a contract's result and violations as one JSON document in a folder of its own."""
+    return write_report_json(report.coalesce(1), path)
+
+
+def read_contract_report(spark: SparkSession, path: str) -> DataFrame:
+    """A stored report with its types."""
+    violation = "constraint_type: string, column_name: string, message: string, severity: string, violation_count: bigint"
+    counts = "error_count bigint, warning_count bigint, row_count bigint, column_count int"
+    schema = f"contract_name string, version string, status string, {counts}, violations array<struct<{violation}>>"
+    return spark.read.schema(schema).json(path)
+
+
 def append_events_json(rows: DataFrame, path: str) -> str:
     """Append rows (lineage nodes, events, drift, SLA checks) to a JSON table."""
     rows.write.mode("append").json(path)

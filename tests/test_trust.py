@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaestor.operators import contracts, drift, events, lineage, sla
 from quaestor.operators.contracts import ColumnRule, Contract, Freshness, Reference
 from quaestor.params import TrustParams
+from quaestor.sources import sinks
 
 from .conftest import collect
 
@@ -57,6 +58,24 @@ def test_contract_kinds(table):
     assert (result.status, result.error_count, result.row_count, result.column_count) == ("violated", 9, 5, 3)
 
 
+def test_report_is_stored_with_result_and_violations(spark, table, tmp_path):
+    def stored_report(contract, name):
+        report = contracts.contract_report(table, contract, contracts.contract_violations(table, contract))
+        path = sinks.write_contract_report(report, str(tmp_path / name))
+        (row,) = sinks.read_contract_report(spark, path).collect()
+        return row
+
+    bad = stored_report(Contract("c", (ColumnRule("txn_id", unique=True), ColumnRule("branch")), version="3"), "bad")
+    assert (bad.contract_name, bad.version, bad.status, bad.error_count, bad.row_count) == ("c", "3", "violated", 3, 5)
+    assert [(v.constraint_type, v.column_name, v.violation_count) for v in bad.violations] == [
+        ("not_null", "branch", 1),
+        ("not_null", "txn_id", 2),
+        ("unique", "txn_id", 2),
+    ]
+    good = stored_report(Contract("d", (ColumnRule("amount", nullable=True),)), "good")
+    assert (good.status, good.error_count, good.violations) == ("valid", 0, [])
+
+
 def test_valid_table_and_empty_table(table):
     contract = Contract("c", (ColumnRule("amount", nullable=True, dtype="double"),))
     assert found(table, contract) == []
