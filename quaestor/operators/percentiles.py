@@ -130,8 +130,7 @@ class _Range:
 
 
 def _counted(values: DataFrame, ranges: list[_Range]) -> DataFrame:
-    """Rows, least and greatest value per bucket of the ranges, in order of value. Where ranges touch,
-    the later one has the value."""
+    """Rows, least and greatest value per bucket of the ranges. Where ranges touch, the later one has the value."""
     which = bucket = F.lit(None)
     for i, r in enumerate(ranges):
         inside = F.col("v").between(r.low, r.high)
@@ -142,7 +141,6 @@ def _counted(values: DataFrame, ranges: list[_Range]) -> DataFrame:
         .filter("which IS NOT NULL")
         .groupBy("which", "bucket")
         .agg(F.count("v").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .orderBy("low")
     )
 
 
@@ -152,7 +150,8 @@ def _values_at_ranks(values: DataFrame, ranks: list[int], spread: Spread) -> dic
     ranges = spread.ranges(ranks)
     while ranges:
         following, at, last = [], 0, None
-        for part in _counted(values, ranges).collect():
+        # A few thousand buckets at most, in order of value.
+        for part in sorted(_counted(values, ranges).collect(), key=lambda p: (math.isnan(p.low), p.low)):
             if part.which != last and ranges[part.which].below is not None:
                 at = ranges[part.which].below
             last = part.which
