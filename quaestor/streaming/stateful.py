@@ -1,29 +1,32 @@
 """Throttling as a stateful operator: one time per key in the state store, which forgets it by itself.
 
 The batch form in :mod:`quaestor.streaming.ledger_stream` rewrites a table of all keys in every batch, and splits keys of
-any size within a batch. Here Spark's state store holds the last sent time of each key; a batch touches only the
-keys it has events of, changes are checkpointed as changes, and a timer removes a key that has not sent for ``forget``. The
-events of one key in one micro-batch are in the memory of one task, so bound the batches by ``maxFilesPerTrigger`` or
-use the batch form where one key has most of the events.
+any size within a batch. Here Spark's state store holds the last sent time of each key, dealt over ``buckets`` groups; a batch
+reads and writes the buckets it has events of, and a timer per bucket removes keys that have not sent for ``forget``. A
+bucket, not a key, is what Python is called for: with a call, or a request to the store, for every key the work of a
+batch was that of its keys, not of its rows. The events of one bucket in one micro-batch and the keys of one bucket are in
+the memory of one task, so bound the batches by ``maxFilesPerTrigger``, give more ``buckets`` to streams of
+very many keys, and use the batch form where one key has most of the events.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quaestor.functions.columns import micros
 from quaestor.operators import events
 from quaestor.params import TrustParams
 
+#: Groups in which the keys are held. A stream keeps the number it began with.
+BUCKETS = 1024
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,47 +40,53 @@ def sent_places(times: np.ndarray, wait: int, last: int | None) -> list[int]:
     return sent
 
 
-class Throttle(StatefulProcessor):
-    """Keeps, per key, the time of the last event that was sent, and a timer that removes it.
+def throttle_bucket(columns: list[str], tie: str, wait: int, forget_ms: int):
+    """The step of one bucket of keys: its rows of a batch, behind the time of the last event that each key sent.
 
-    Emits the sent events, and with ``late`` set those that came after a later one had been sent.
+    Emits the sent events, and with ``late`` set those that came after a later one had been sent. The state comes and goes
+    with the rows, in one piece for the bucket: neither a key nor an event costs a request to the state store.
     """
 
-    def __init__(self, columns: list[str], tie: str, wait: int, forget_ms: int):
-        self.columns, self.tie, self.wait, self.forget_ms = columns, tie, wait, forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        kind = StructType([StructField("last_us", LongType()), StructField("forget_at", LongType())])
-        self.last = handle.getValueState("last", kind)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["throttle_us", self.tie], kind="stable")
-        times = batch["throttle_us"].to_numpy(np.int64)
-        last, old_timer = map(int, self.last.get()) if self.last.exists() else (None, None)
-        sent = sent_places(times, self.wait, last)
-        late = np.zeros(len(times), dtype=bool) if last is None else times < last
-        if sent:
-            forget_at = int(batch["seen_ms"].max()) + self.forget_ms
-            if old_timer is not None:
-                self.handle.deleteTimer(old_timer)
-            self.handle.registerTimer(forget_at)
-            self.last.update((int(times[sent[-1]]), forget_at))
-        kept = np.union1d(np.flatnonzero(late), np.array(sent, dtype=np.int64)).astype(np.int64)
-        out = batch.iloc[kept][self.columns].copy()
-        out["late"] = late[kept]
-        yield out
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {key: (last, forget_at) for key, last, forget_at in zip(*state.get)} if state.exists else {}
+        clock, out = state.getCurrentWatermarkMs(), None
+        if not state.hasTimedOut:
+            batch = pd.concat(list(parts), ignore_index=True)
+            batch = batch.sort_values(["throttle_key", "throttle_us", tie], kind="stable", ignore_index=True)
+            keys, times = batch["throttle_key"].to_numpy(object), batch["throttle_us"].to_numpy(np.int64)
+            bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            forget_at = int(batch["seen_ms"].max()) + forget_ms
+            kept, late = [], []
+            for at, end in zip(bounds, bounds[1:]):
+                last = held[keys[at]][0] if keys[at] in held else None
+                older = 0 if last is None else int(np.searchsorted(times[at:end], last))
+                sent = sent_places(times[at:end], wait, last)
+                if sent:
+                    held[keys[at]] = (int(times[at + sent[-1]]), forget_at)
+                kept += range(at, at + older)
+                kept += [at + k for k in sent]
+                late += [True] * older + [False] * len(sent)
+            out = batch.iloc[kept][columns]
+            out["late"] = np.array(late, dtype=bool)
+        held = {key: value for key, value in held.items() if value[1] > clock}
+        if held:
+            lasts, forgets = zip(*held.values())
+            state.update((list(held), list(lasts), list(forgets)))
+            state.setTimeoutTimestamp(min(forgets))
+        elif state.exists:
+            state.remove()
+        if out is not None and len(out):
+            yield out
+
+    return step
 
 
 def throttled(
-    alerts: DataFrame, tie: str, params: TrustParams = TrustParams(), forget: str = "7 days"
+    alerts: DataFrame,
+    tie: str,
+    params: TrustParams = TrustParams(),
+    forget: str = "7 days",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """The events of a stream that pass the severity filter and the throttle, with ``alert_id`` and ``late``.
 
@@ -91,17 +100,18 @@ def throttled(
     if wait <= 0:
         return passing.withColumns({"alert_id": events.alert_id(), "late": F.lit(False)})
     forget_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
-    # Rows reach the processor as named tuples, whose names cannot begin with an underscore.
     keyed = passing.withColumns(
         {"throttle_key": events.throttle_key(), "throttle_us": micros(F.col("event_at")), "seen": F.current_timestamp()}
     )
     keyed = keyed.withColumn("seen_ms", F.unix_millis("seen")).withWatermark("seen", "0 seconds")
+    keyed = keyed.withColumn("throttle_bucket", F.pmod(F.xxhash64("throttle_key"), F.lit(buckets)))
     out = StructType([*alerts.schema.fields, StructField("late", BooleanType())])
-    sent = keyed.groupBy("throttle_key").transformWithStateInPandas(
-        statefulProcessor=Throttle(alerts.columns, tie, wait, forget_ms),
+    sent = keyed.groupBy("throttle_bucket").applyInPandasWithState(
+        throttle_bucket(alerts.columns, tie, wait, forget_ms),
         outputStructType=out,
-        outputMode="Append",
-        timeMode="EventTime",
+        stateStructType="keys array<string>, last_us array<long>, forget_at array<long>",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
     return sent.withColumn("alert_id", events.alert_id())
 
@@ -113,11 +123,12 @@ def run_throttle(
     checkpoint: str,
     params: TrustParams = TrustParams(),
     forget: str = "7 days",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Append what is sent to a Parquet table, exactly once, and stop; sets the state store of the session."""
     alerts.sparkSession.conf.set(STORE, ROCKSDB)
     return (
-        throttled(alerts, tie, params, forget)
+        throttled(alerts, tie, params, forget, buckets)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
@@ -129,5 +140,5 @@ def run_throttle(
 
 def held_keys(spark: SparkSession, checkpoint: str) -> DataFrame:
     """key and last_us of the keys in the state of a stopped stream."""
-    state = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
-    return state.select(F.col("key.throttle_key").alias("key"), F.col("value.last_us").alias("last_us"))
+    state = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    return state.select(F.inline(F.arrays_zip("keys", "last_us"))).toDF("key", "last_us")

@@ -67,3 +67,18 @@ def test_sent_places():
     assert stateful.sent_places(times, 10, None) == [0, 2, 5, 6]
     assert stateful.sent_places(times, 10, 5) == [4, 6]
     assert stateful.sent_places(times, 10, 100) == []
+
+
+def test_state_grows_by_buckets_not_keys(spark, tmp_path):
+    """Keys that share a bucket are one call and one row of state, and are throttled and forgotten each on its own."""
+    rows = [(100 * d + k, 6 * d, f"k{k}") for d in range(4) for k in range(40) if (d + k) % 3]
+    folder, sent, checkpoint = (str(tmp_path / n) for n in ("in", "sent", "checkpoint"))
+    for delivery in (rows[:55], rows[55:]):
+        alerts(spark, *delivery).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SCHEMA).parquet(folder)
+        params = TrustParams(throttle_minutes=10)
+        stateful.run_throttle(stream, "id", sent, checkpoint, params, buckets=3).awaitTermination()
+    want = {r.id for r in throttle(alerts(spark, *rows), F.col("title"), "event_at", "id", 10).collect()}
+    assert {r.id for r in spark.read.parquet(sent).filter("not late").collect()} == want
+    assert stateful.held_keys(spark, checkpoint).count() == 40
+    assert spark.read.format("statestore").load(checkpoint).count() <= 3
