@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment by the byte offsets at which tokens of both tokenizers end.
 
-Per text, the cumulative ends of the tokens of A and of B are kept in two dictionaries from end to index; the
-intersection of their key sets, sorted, slices both lists of ids into groups. Every token has at least one byte (checked
+Per text, the cumulative ends of the tokens of A and of B are kept in two dictionaries from end to index, held as arrays
+over the offsets of a window; the intersection of their key sets, in order, slices both lists of ids into groups. Every token has at least one byte (checked
 when the vocabularies are loaded), so in each slice one pair of occurrences ends together, and is linked.
 
 How often a pair of ids is linked in the whole corpus is counted in two steps. The tasks that tokenize
@@ -35,7 +35,7 @@ BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 #: Distinct pairs of ids, summed over documents, after which a block is closed.
 BLOCK = 500_000
-#: Bytes of text whose ends are put into dictionaries at a time.
+#: Bytes of text whose ends are put into the dictionaries at a time.
 WINDOW = 1 << 18
 #: Texts tokenized at a time.
 TEXTS = 64
@@ -76,7 +76,7 @@ class Vocabularies:
         self.a_lengths = np.array([len(d) for d in self.a_bytes])
         self.b_lengths = np.array([len(d) for d in self.b_bytes])
         ids = range(max(len(self.a_bytes), len(self.b_bytes)))
-        self.names = [f"{i}{mark}" for mark in ",|;" for i in ids]
+        self.names = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in ids])
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -104,13 +104,17 @@ def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
     cuts_a, cuts_b = [], []
     size = int(a_ends[-1]) if len(a_ends) else 0
     for low in range(0, size, WINDOW):
-        (a0, a1), (b0, b1) = (np.searchsorted(e, (low, low + WINDOW), side="right").tolist() for e in (a_ends, b_ends))
-        a_index = dict(zip(a_ends[a0:a1].tolist(), range(a0, a1), strict=True))
-        b_index = dict(zip(b_ends[b0:b1].tolist(), range(b0, b1), strict=True))
-        common = sorted(a_index.keys() & b_index.keys())
-        cuts_a += map(a_index.__getitem__, common)
-        cuts_b += map(b_index.__getitem__, common)
-    return np.array(cuts_a, dtype=np.int64), np.array(cuts_b, dtype=np.int64)
+        indexes = []
+        for ends in (a_ends, b_ends):
+            first, last = np.searchsorted(ends, (low, low + WINDOW), side="right").tolist()
+            index = np.full(min(WINDOW, size - low) + 1, -1, dtype=np.int64)
+            index[ends[first:last] - low] = np.arange(first, last)
+            indexes.append(index)
+        common = np.flatnonzero((indexes[0] >= 0) & (indexes[1] >= 0))
+        cuts_a.append(indexes[0][common])
+        cuts_b.append(indexes[1][common])
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *cuts_a]), np.concatenate([none, *cuts_b])
 
 
 def slices(cuts_a: np.ndarray, cuts_b: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -121,10 +125,11 @@ def slices(cuts_a: np.ndarray, cuts_b: np.ndarray) -> Iterator[tuple[int, int, i
         a0, b0 = a1, b1
 
 
-def groups_sha256(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, names: list[str]) -> str:
+def groups_sha256(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, names: np.ndarray) -> str:
     """Digest of ``a1,a2|b1;a3|b2,b3``; '' without groups.
 
-    ``names``: each id followed by a comma, then each followed by a bar, then each followed by a semicolon.
+    ``names``: each id followed by a comma, then each followed by a bar, then each followed by a semicolon, as bytes of
+    one width, filled up with zeros.
     """
     if not len(cuts_a):
         return ""
@@ -138,8 +143,7 @@ def groups_sha256(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.n
     b[cuts_b] += 2 * third
     row[np.arange(len(a)) + before[group_a]] = a
     row[np.arange(len(b)) + (cuts_a + 1)[group_b]] = b
-    text = "".join(map(names.__getitem__, row.tolist()))
-    return hashlib.sha256(text[:-1].encode()).hexdigest()
+    return hashlib.sha256(names[row].tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 def _texts(docs: DataFrame) -> DataFrame:

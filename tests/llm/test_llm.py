@@ -728,3 +728,35 @@ def test_chat_extra_fields_and_partial_elements(spark):
     }
     left = chat.unmatched_json(df).collect()
     assert Counter(map(tuple, left)) == Counter(r for r in records if r[0] not in got)
+
+
+def test_common_ends_cost_no_python_step_a_token():
+    """The same cuts as dictionaries from end to index, across windows, in much less time."""
+    import time
+
+    from quaestor.llm import token_alignment
+
+    def by_dictionaries(a_ends, b_ends):
+        a = dict(zip(a_ends.tolist(), range(len(a_ends)), strict=True))
+        b = dict(zip(b_ends.tolist(), range(len(b_ends)), strict=True))
+        common = sorted(a.keys() & b.keys())
+        return [a[e] for e in common], [b[e] for e in common]
+
+    def least(f, *args):
+        took = []
+        for _ in range(3):
+            begun = time.process_time()
+            f(*args)
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    rng = np.random.default_rng(5)
+    ends = [np.cumsum(rng.integers(1, 9, 300_000)) for _ in range(2)]
+    size = min(int(e[-1]) for e in ends)
+    ends = [np.append(e[e < size], size) for e in ends]
+    got = token_alignment.common_ends(*ends)
+    assert [c.tolist() for c in got] == list(by_dictionaries(*ends))
+    assert size > 2 * token_alignment.WINDOW
+    none = np.empty(0, dtype=np.int64)
+    assert [len(c) for c in token_alignment.common_ends(none, none)] == [0, 0]
+    assert least(token_alignment.common_ends, *ends) < least(by_dictionaries, *ends) / 2
