@@ -22,8 +22,9 @@ its rows, so sets of rows without id take part too. Links are found in two round
    be connected are not compared again. Blocks that overlap form a family; it is compared as a whole if that
    moves fewer sets than its blocks one by one. So no link between unconnected sets is missed.
 
-What moves is kept small: parts are emitted once per task and set and exchanged once; only texts of sets that share a
-part are fetched, compressed, by a 128-bit hash of their row; tries hash them again. ``docs`` is read several times and
+What moves is kept small: parts are emitted once per task and set, and only those met twice are joined to their sets. Only
+texts of sets that share a part are fetched, compressed, by a 128-bit hash of their row, and a bitmap keeps nearly
+all others from moving; tries hash them again. ``docs`` is read several times and
 must not change in between. Stored tables are removed after their last reader.
 
 N-grams are 64-bit hashes. Null or wordless texts have no n-grams and link with nothing. Rows that repeat
@@ -55,6 +56,8 @@ THRESHOLD = (9, 10)
 TRIE_SETS = 256
 TRIE_NGRAMS = 400_000
 CLASS_RATIO = 1.5
+#: Bits of the map of wanted texts at most (16 MB).
+MAP_BITS = 1 << 27
 #: Sets that a task remembers, so that it does not emit the parts of a copy again.
 REMEMBERED = 200_000
 
@@ -235,6 +238,23 @@ def _fingerprints(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFr
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``tie`` no row of ``wanted`` has as ``w_tie``; none of the others is lost.
+
+    A bitmap of the wanted numbers, 16 to 32 bits for each and ``MAP_BITS`` in all at most, goes to every task. If
+    it gets full, more rows pass; the join that follows is exact.
+    """
+    bits = min(MAP_BITS, max(1 << 15, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.col("w_tie"), F.lit(bits))
+    maps = wanted.select(F.shiftright(place, 15).alias("piece"), (place % F.lit(1 << 15)).alias("bit"))
+    maps = maps.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
+    place = F.pmod(F.col("tie"), F.lit(bits))
+    placed = rows.withColumns({"piece": F.shiftright(place, 15), "bit": place % F.lit(1 << 15)})
+    byte = F.conv(F.hex(F.substring("map", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
+    return placed.join(F.broadcast(maps), "piece").where(found).select(*rows.columns)
+
+
 def _packed(rows: DataFrame) -> DataFrame:
     """``rows`` (tie, tie2, text) with the text compressed, so that little moves."""
 
@@ -392,21 +412,20 @@ def _components(keyed: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[D
     sets = stored(sets.withColumn("rep", F.col("best.row")), "sets")
     emitting = prints.where("parts is not null")
     reps = stored(emitting.join(sets.select("set_id", "rep"), "set_id").select("row", "rep"), "reps")
-    # Joined once, as the postings are read twice; the prints are not needed any more.
-    dealt = stored(emitting.select("row", "parts").join(reps, "row").select("rep", "parts"), "dealt")
-    rows = stored(prints.drop("parts"), "rows")
-    discard(prints, reps)
-    postings = dealt.select("rep", F.explode("parts").alias("part"))
-    # Parts of two sets at least, told by two numbers per part, so that a part of very many sets is combined before it moves.
-    several = postings.groupBy("part").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    postings = emitting.select("row", F.explode("parts").alias("part"))
+    # Parts of two rows at least, told by two numbers per part, so that a part of very many sets is combined before it moves.
+    # Rows of one set count twice here; which set a row has is looked up for the few postings that are left.
+    several = postings.groupBy("part").agg(F.min("row").alias("low"), F.max("row").alias("high"))
     several = stored(several.where("low < high").select("part"), "several")
-    sharing = stored(postings.join(several, "part").select("part", "rep").distinct(), "sharing")
-    sharers = sharing.groupBy("part").agg(F.count(F.lit(1)).alias("sharers"))
+    meeting = postings.join(several, "part").join(reps, "row")
+    sharing = stored(meeting.select("part", "rep").distinct(), "sharing")
+    sharers = sharing.groupBy("part").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
     shared = stored(sharing.join(sharers, "part"), "shared")
-    discard(dealt, several, sharing)
+    rows = stored(prints.drop("parts"), "rows")
+    discard(prints, reps, several, sharing)
     ties = F.col("best.tie").alias("w_tie"), F.col("best.tie2").alias("w_tie2")
     wanted = stored(shared.select("rep").distinct().join(sets.select("rep", *ties), "rep"), "wanted")
-    packed = _packed(keyed.select("tie", "tie2", "text"))
+    packed = _packed(_likely(keyed.select("tie", "tie2", "text"), wanted))
     own = (F.col("tie") == F.col("w_tie")) & (F.col("tie2") == F.col("w_tie2"))
     contents = stored(packed.join(wanted, own).select("rep", "packed"), "contents")
     labels = _labels(shared, sets.select("rep", "n"), contents, n, threshold)

@@ -760,3 +760,16 @@ def test_common_ends_cost_no_python_step_a_token():
     none = np.empty(0, dtype=np.int64)
     assert [len(c) for c in token_alignment.common_ends(none, none)] == [0, 0]
     assert least(token_alignment.common_ends, *ends) < least(by_dictionaries, *ends) / 2
+
+
+def test_texts_nobody_wants_do_not_move(spark):
+    """The bitmap lets all wanted rows pass and few others; a full one lets all pass."""
+    from quaestor.llm import ngram_join
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("tie"), F.xxhash64("id", F.lit(1)).alias("tie2"), F.lit("a b c").alias("text"))
+    wanted = spark.range(0, 20_000, 20).select(F.xxhash64("id").alias("w_tie"))
+    left = ngram_join._likely(rows, wanted)
+    assert left.columns == rows.columns
+    assert left.join(wanted, left.tie == wanted.w_tie, "left_semi").count() == 1_000
+    assert left.count() < 3_000
+    assert ngram_join._likely(rows, wanted.limit(0)).count() == 0
