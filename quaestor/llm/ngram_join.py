@@ -271,7 +271,7 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 
 
 def _linked(entries: DataFrame, contents: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links found in each block of ``entries`` (block, side, rep, label); blocks are of bounded size."""
+    """Links between labels found in each block of ``entries`` (block, side, rep, label); blocks are of bounded size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -284,7 +284,7 @@ def _linked(entries: DataFrame, contents: DataFrame, n: int, threshold: tuple[in
             labels, sides, texts = zip(*members.values(), strict=True)
             if len(set(labels)) > 1:
                 sets = [_unpacked(packed, n) for packed in texts]
-                found += links_of(list(members), sets, labels, sides, threshold)
+                found += links_of(labels, sets, labels, sides, threshold)
             if len(found) > 10_000:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
                 found = []
@@ -302,29 +302,23 @@ def _cuts(sets: str = "sets", grams: str = "grams"):
     ).cast("long")
 
 
-def _best_blocks(shared: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of the first round, in which each set joins the block of its most shared part, and (rep, tried)."""
-    best = shared.groupBy("rep").agg(F.max(F.struct("sharers", "part")).alias("best"))
-    chosen = best.select("rep", F.col("best.part").alias("part")).join(sizes, "rep")
-    stats = chosen.groupBy("part").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn("cuts", _cuts())
-    leaders = shared.groupBy("part").agg(F.min("rep").alias("rep"))
-    block = F.xxhash64("part", "cut").alias("block")
+def _best_blocks(shared: DataFrame) -> DataFrame:
+    """(rep, n, block, low): in the first round each set joins the block of its most shared part, led by ``low``."""
+    best = shared.groupBy("rep").agg(F.max(F.struct("sharers", "part", "low", "n")).alias("best"))
+    chosen = best.select("rep", "best.part", "best.low", "best.n")
+    cuts = chosen.groupBy("part").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).select("part", _cuts().alias("cuts"))
     cut = F.pmod(F.xxhash64("rep"), F.col("cuts"))
-    members = chosen.join(stats.select("part", "cuts"), "part").withColumn("cut", cut).select(block, "rep")
-    every = stats.join(leaders, "part").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    entries = members.union(every.select(block, "rep")).distinct()
-    entries = entries.select("block", F.lit(0).alias("side"), "rep", F.col("rep").alias("label"))
-    return entries, members.select("rep", F.col("block").alias("tried"))
+    return chosen.join(cuts, "part").select("rep", "n", F.xxhash64("part", cut).alias("block"), "low")
 
 
-def _still_open(shared: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
+def _still_open(shared: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
     """The parts that can hide a link: not all sets connected, and not all compared in one trie just now.
 
     Parts shared by the same sets count once.
     """
-    known = shared.join(labels, "rep", "left").join(tried, "rep")
-    label = F.coalesce("label", "rep")
-    parts = known.groupBy("part").agg(
+    tried = members.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.col("block").alias("tried"))
+    label = F.col("label")
+    parts = shared.join(tried, "rep").groupBy("part").agg(
         *(F.min(label).alias("low"), F.max(label).alias("high")),
         *(F.min("tried").alias("first"), F.max("tried").alias("last")),
         F.count("*").alias("sharers"),
@@ -336,25 +330,25 @@ def _still_open(shared: DataFrame, tried: DataFrame, labels: DataFrame) -> DataF
 
 def _groups(shared: DataFrame) -> DataFrame:
     """(part, rep) to compare: for every family all its sets as one part, or its parts if these are smaller."""
-    first = shared.groupBy("part").agg(F.min("rep").alias("low"), F.count("*").alias("sets"))
-    edges = shared.join(first, "part").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    first = shared.where("rep = low").select("rep", "sharers")  # one row a part
+    edges = shared.select(F.col("rep").alias("a"), F.col("low").alias("b"))
     family = stored(components(edges).toDF("rep", "family"), "families")
     moved = lambda sets: F.col(sets) * F.ceil(F.col(sets) / F.lit(TRIE_SETS))
     whole = family.groupBy("family").agg(F.count("*").alias("members"))
-    parts = first.join(family, first.low == family.rep).groupBy("family").agg(F.sum(moved("sets")).alias("moved"))
+    parts = first.join(family, "rep").groupBy("family").agg(F.sum(moved("sharers")).alias("moved"))
     chosen = whole.join(parts, "family").select("family", (moved("members") <= F.col("moved")).alias("as_whole"))
-    plan = family.join(chosen, "family")
+    plan = stored(family.join(chosen, "family"), "plan")
     wholes = plan.where("as_whole").select(F.xxhash64("family").alias("part"), "rep")
     return wholes.union(shared.join(plan.where("not as_whole"), "rep").select("part", "rep"))
 
 
-def _all_chunks(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+def _all_chunks(shared: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of the second round: chunks of every group, in pairs.
 
     A label with many sets in the group has chunks of its own, small labels share chunks. Two chunks of one
     label are not paired.
     """
-    rows = _groups(shared).join(labels, "rep", "left").join(sizes, "rep")
+    rows = _groups(shared).join(members.select("rep", "n"), "rep").join(labels, "rep", "left")
     rows = stored(rows.select("part", "rep", "n", F.coalesce("label", "rep").alias("label")), "open")
     per = rows.groupBy("part", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).withColumn("cuts", _cuts())
     small = per.where("cuts = 1").groupBy("part").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"))
@@ -376,19 +370,24 @@ def _all_chunks(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataF
     return rows.join(one.union(two), ["part", "chunk"]).select("block", "side", "rep", "label")
 
 
-def _labels(shared: DataFrame, sizes: DataFrame, contents: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+def _labels(shared: DataFrame, contents: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(rep, label) of all linked sets."""
-    entries, tried = _best_blocks(shared, sizes)
+    members = stored(_best_blocks(shared), "members")
+    entries = members.select("block", "rep").union(members.select("block", "low")).distinct()
+    entries = entries.select("block", F.lit(0).alias("side"), "rep", F.col("rep").alias("label"))
     links = stored(_linked(entries, contents, n, threshold), "links")
     labels = stored(components(links).toDF("rep", "label"), "labels")
-    open_ = stored(_still_open(shared, tried, labels), "open")
+    open_ = stored(_still_open(shared, members, labels), "open")
     if not open_.isEmpty():
-        more = stored(_linked(_all_chunks(open_, sizes, labels), contents, n, threshold), "links")
+        more = stored(_linked(_all_chunks(open_, members, labels), contents, n, threshold), "links")
         if not more.isEmpty():
-            first, labels = labels, stored(components(links.union(more)).toDF("rep", "label"), "labels")
-            discard(first)
+            # A label is the name of a set too, also that of a set not linked before.
+            joined = stored(components(more).toDF("label", "joined"), "joined")
+            known = labels.join(joined, "label", "left").select("rep", F.coalesce("joined", "label").alias("label"))
+            first, labels = labels, stored(known.union(joined).distinct(), "labels")
+            discard(first, joined)
         discard(more)
-    discard(links, open_)
+    discard(members, links, open_)
     return labels
 
 
@@ -411,15 +410,15 @@ def _components(keyed: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[D
     sets = prints.where("set_id is not null").groupBy("set_id").agg(best, F.max("n_shingles").alias("n"))
     sets = stored(sets.withColumn("rep", F.col("best.row")), "sets")
     emitting = prints.where("parts is not null")
-    reps = stored(emitting.join(sets.select("set_id", "rep"), "set_id").select("row", "rep"), "reps")
+    reps = stored(emitting.join(sets.select("set_id", "rep", "n"), "set_id").select("row", "rep", "n"), "reps")
     postings = emitting.select("row", F.explode("parts").alias("part"))
     # Parts of two rows at least, told by two numbers per part, so that a part of very many sets is combined before it moves.
     # Rows of one set count twice here; which set a row has is looked up for the few postings that are left.
     several = postings.groupBy("part").agg(F.min("row").alias("low"), F.max("row").alias("high"))
     several = stored(several.where("low < high").select("part"), "several")
     meeting = postings.join(several, "part").join(reps, "row")
-    sharing = stored(meeting.select("part", "rep").distinct(), "sharing")
-    sharers = sharing.groupBy("part").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
+    sharing = stored(meeting.select("part", "rep", "n").distinct(), "sharing")
+    sharers = sharing.groupBy("part").agg(F.count(F.lit(1)).alias("sharers"), F.min("rep").alias("low")).where("sharers > 1")
     shared = stored(sharing.join(sharers, "part"), "shared")
     rows = stored(prints.drop("parts"), "rows")
     discard(prints, reps, several, sharing)
@@ -428,7 +427,7 @@ def _components(keyed: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[D
     packed = _packed(_likely(keyed.select("tie", "tie2", "text"), wanted))
     own = (F.col("tie") == F.col("w_tie")) & (F.col("tie2") == F.col("w_tie2"))
     contents = stored(packed.join(wanted, own).select("rep", "packed"), "contents")
-    labels = _labels(shared, sets.select("rep", "n"), contents, n, threshold)
+    labels = _labels(shared, contents, n, threshold)
     labelled = sets.join(labels, "rep", "left").select("set_id", F.coalesce("label", "rep").alias("label"), "best")
     labelled = stored(labelled, "labelled")
     discard(shared, wanted, contents, labels, sets)

@@ -773,3 +773,43 @@ def test_texts_nobody_wants_do_not_move(spark):
     assert left.join(wanted, left.tie == wanted.w_tie, "left_semi").count() == 1_000
     assert left.count() < 3_000
     assert ngram_join._likely(rows, wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind, tasks, tables", [("path", 1, 1), ("stars", 6, 1), ("mixed", 6, None)])
+def test_components_take_few_rounds(spark, monkeypatch, kind, tasks, tables):
+    """What one task reads takes no round, finished stars take none to confirm them; loops and repeats do no harm."""
+    from quaestor.llm import graph
+
+    rng = np.random.default_rng(5)
+    if kind == "path":
+        edges = [(k, k + 1) for k in range(300)]
+    elif kind == "stars":
+        edges = [(hub, int(k)) for hub in range(20) for k in rng.integers(1_000 * hub + 100, 1_000 * hub + 400, 200)]
+    else:
+        edges = [tuple(map(int, e)) for e in rng.integers(-400, 400, (350, 2))] + [(7, 7), (7, 7), (5_000, 5_001), (5_000, 5_001)]
+        edges += [(20_000 - k, 20_001 - k) for k in range(100)]
+    kept, written = graph.stored, []
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.append(name) or kept(df, name))
+    df = spark.createDataFrame(spark.sparkContext.parallelize([edges[k::tasks] for k in range(tasks)], tasks).flatMap(list), "a long, b long")
+    got = [tuple(r) for r in graph.components(df).collect()]
+    low = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in low:
+        before = dict(low)
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    assert len(got) == len(set(got)) and dict(got) == low
+    assert tables is None or len(written) <= tables
+
+
+def test_stars_of_a_path():
+    """A path with shuffled names becomes a star, each node led to the smallest."""
+    from quaestor.llm import graph
+
+    names = np.random.default_rng(2).permutation(1_000)
+    node, low = graph.stars(names[:-1], names[1:])
+    assert sorted(node.tolist()) == list(range(1, 1_000)) and not low.any()
+    none = np.empty(0, dtype=np.int64)
+    assert [len(c) for c in graph.stars(none, none)] == [0, 0]
